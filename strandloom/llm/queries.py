@@ -1,0 +1,27 @@
+"""The subpackage's queries, each over its whole table with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import rlz, sql
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate factors of at least 50 words over all documents."""
+    return rlz.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": sql.SUBSTRING,
+}
