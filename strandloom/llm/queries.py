@@ -6,22 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rlz, sql
+from . import rlz, sql, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in repeats of at least 50 words over all documents."""
+    return suffix.suffix_array_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate factors of at least 50 words over all documents."""
     return rlz.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": sql.SUFFIX,
     "op2_substring_dedup": sql.SUBSTRING,
 }

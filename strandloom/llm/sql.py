@@ -15,3 +15,12 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM b)
 SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(count(*) + 49 AS INTEGER) AS n_words, min(rd) AS ref_doc_id, CAST(min(rs) AS INTEGER) AS ref_start_word
 FROM g GROUP BY doc_id, k
 """
+
+SUFFIX = f"""
+WITH t AS ({WORDS}),
+s AS (SELECT doc_id, i AS s, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM t, unnest(range(len(w) - 49)) u(i)),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth, count(*) OVER (PARTITION BY h) AS n FROM s),
+c AS (SELECT doc_id, s + k AS word, max(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS later FROM f, unnest(range(50)) u(k) WHERE n > 1 GROUP BY doc_id, s + k),
+g AS (SELECT *, word - row_number() OVER (PARTITION BY doc_id, later ORDER BY word) AS run FROM c)
+SELECT doc_id, CAST(min(word) AS INTEGER) AS start_word, CAST(count(*) AS INTEGER) AS n_words, later = 0 AS keep FROM g GROUP BY doc_id, later, run
+"""
