@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rlz, sql, suffix
+from . import minhash, rlz, sql, suffix, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of embeddings with a cosine of at least 0.95."""
+    return vectors.near_duplicate_pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": sql.SUFFIX,
     "op2_substring_dedup": sql.SUBSTRING,
+    "op3_embedding_near_dedup": sql.EMBEDDING,
 }

@@ -24,3 +24,9 @@ c AS (SELECT doc_id, s + k AS word, max(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS
 g AS (SELECT *, word - row_number() OVER (PARTITION BY doc_id, later ORDER BY word) AS run FROM c)
 SELECT doc_id, CAST(min(word) AS INTEGER) AS start_word, CAST(count(*) AS INTEGER) AS n_words, later = 0 AS keep FROM g GROUP BY doc_id, later, run
 """
+
+EMBEDDING = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+"""
