@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, rlz, sql, suffix, vectors
+from . import lines, minhash, mixing, quality, rlz, sql, suffix, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,15 +33,36 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each use of a document in the mixture, sources used between once and 1.5 times."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five sites or more share."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass the quality rules, with their scores."""
+    return quality.passing(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), with_scores=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": sql.SUFFIX,
     "op2_substring_dedup": sql.SUBSTRING,
     "op3_embedding_near_dedup": sql.EMBEDDING,
+    "op5_source_mixing": sql.MIXING,
+    "op6_line_dedup": sql.LINES,
+    "op7_quality_rules": sql.QUALITY,
 }

@@ -30,3 +30,53 @@ WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddi
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
 FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
 """
+
+LINES_CTE = """
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+bad AS (SELECT trim(line) AS b, min(doc_id) AS first_id FROM l WHERE trim(line) <> '' GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 5),
+m AS (SELECT l.*, b IS NOT NULL AND first_id <> doc_id AS drop_it FROM l LEFT JOIN bad ON trim(line) = b),
+clean AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop_it), '') AS text, CAST(count(*) FILTER (drop_it) AS INTEGER) AS n_removed FROM m GROUP BY doc_id)
+"""
+LINES = f"""
+WITH {LINES_CTE.format(docs="documents")}
+SELECT d.doc_id, c.text, d.lang, d.source, d.n_chars, coalesce(c.n_removed, 0) AS n_removed FROM documents d LEFT JOIN clean c USING (doc_id)
+"""
+
+QUALITY_CTE = r"""
+w AS (SELECT *, string_split(text, ' ') AS ws FROM {docs}),
+f AS (SELECT *, coalesce(lang, '') AS stratum,
+  coalesce((length(text) - length(translate(text, '*$#%&|!~^=<>{{}}[]_@+', ''))) / greatest(length(text), 1), 0.0) AS symbols,
+  coalesce(length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) / greatest(length(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]+', '', 'g')), 1), 0.0) AS capitals,
+  coalesce(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) / greatest(len(ws), 1), 0.0) AS stutter FROM w),
+grid(rule, cut) AS (VALUES ('symbols', 0.03), ('symbols', 0.04), ('symbols', 0.06), ('symbols', 0.08), ('symbols', 0.12), ('capitals', 0.3), ('capitals', 0.4), ('capitals', 0.5), ('capitals', 0.6), ('capitals', 0.7), ('stutter', 0.1), ('stutter', 0.2), ('stutter', 0.3), ('stutter', 0.4), ('stutter', 0.5)),
+told AS (SELECT DISTINCT doc_id, quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1)),
+c AS (SELECT stratum, rule, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND s >= cut) AS k, count(*) FILTER (quality = 0 AND s >= cut) AS caught
+  FROM (SELECT stratum, quality, rule, CAST(cut AS DOUBLE) AS cut, CASE rule WHEN 'symbols' THEN symbols WHEN 'capitals' THEN capitals ELSE stutter END AS s FROM f JOIN told USING (doc_id), grid) GROUP BY ALL),
+p AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.1 / 3) + (n - i) * ln(1 - 0.1 / 3))) FROM unnest(range(k + 1)) u(i)) AS tail, count(*) FILTER (n > 0) OVER () AS tests FROM c),
+chosen AS (SELECT stratum, rule, arg_max(cut, caught * 1000 + cut) AS cut FROM p WHERE n > 0 AND caught > 0 AND k < n * 0.1 / 3 AND tail <= 0.1 / tests GROUP BY stratum, rule),
+kept AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM chosen ch WHERE ch.stratum = f.stratum AND CASE rule WHEN 'symbols' THEN symbols WHEN 'capitals' THEN capitals ELSE stutter END >= ch.cut))
+"""
+QUALITY = f"""
+WITH {QUALITY_CTE.format(docs="documents")}
+SELECT doc_id, stratum AS lang, round(symbols, 6) AS symbols, round(capitals, 6) AS capitals, round(stutter, 6) AS stutter FROM kept
+"""
+
+MIXING_CTE = r"""
+base AS (SELECT *, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) AS tokens, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key FROM {docs}),
+s AS (SELECT src, sum(tokens) AS t FROM base GROUP BY src),
+r AS (SELECT *, t / sum(t) OVER () AS p FROM s WHERE t > 0),
+e AS (SELECT CASE WHEN max(p) / min(p) <= 1.5 THEN 0.0 ELSE ceil(round((1 - ln(1.5) / ln(max(p) / min(p))) * 1000000, 3)) / 1000000 END AS a FROM r),
+w AS (SELECT src, t, p ** a / sum(p ** a) OVER () AS w FROM r, e),
+b AS (SELECT src, t, CAST(floor(w * max(t / w) OVER () + 0.5) AS BIGINT) AS budget FROM w),
+pl AS (SELECT src, coalesce(budget // b.t, 1) AS whole, coalesce(budget % b.t, 0) AS part FROM s LEFT JOIN b USING (src)),
+bl AS (SELECT src, key[1:3] AS block, sum(tokens) AS bt FROM base GROUP BY ALL),
+x AS (SELECT src, block, bt, whole, part, epoch, md5('mix-1|' || src || '|' || epoch || '|' || block) AS bk FROM bl JOIN pl USING (src), unnest(range(CAST(whole AS BIGINT) + 1)) u(epoch)),
+y AS (SELECT *, row_number() OVER o AS block_rank, coalesce(sum(bt) OVER (PARTITION BY src, epoch ORDER BY bk, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM x WINDOW o AS (PARTITION BY src, epoch ORDER BY bk, block)),
+z AS (SELECT *, CASE WHEN epoch < whole THEN bt ELSE part - ahead END AS room FROM y WHERE epoch < whole OR (part > 0 AND part > ahead)),
+u AS (SELECT base.*, epoch, block_rank, room, bt, sum(tokens) OVER (PARTITION BY base.src, z.block, epoch ORDER BY key) AS so_far FROM base JOIN z ON base.src = z.src AND key[1:3] = z.block),
+mixed AS (SELECT * FROM u WHERE room >= bt OR so_far <= room)
+"""
+MIXING = f"""
+WITH {MIXING_CTE.format(docs="documents")}
+SELECT doc_id, src AS source, CAST(epoch AS INTEGER) AS epoch, CAST(block_rank AS INTEGER) AS block_rank FROM mixed
+"""
