@@ -228,9 +228,11 @@ def _suffixes(g: int, n: int, length: int):
         x, ranks = _symbols(tokens, lay, g), np.zeros(lay.n, dtype=np.uint64)
         ranks[at] = rank
         i = np.flatnonzero(lay.left >= length)
+        # by class, as each class leaves other columns empty, and runs of zeros pack well
+        i = i[np.argsort(lay.digit[i], kind="stable")]
         region = lay.region[i]
         yield from box.add(
-            _by_first(x[i], n), lay.digit[i].astype(np.uint8), x[i], lay.ahead(x, i, g), ranks[i], lay.ahead(ranks, i, g), lay.ahead(ranks, i, 2 * g),
+            _by_first(x[i], n), lay.digit[i].astype(np.uint8), x[i], np.where(lay.digit[i] == 1, 0, lay.ahead(x, i, g)).astype(np.uint32), ranks[i], lay.ahead(ranks, i, g), lay.ahead(ranks, i, 2 * g),
             flat.ranges_hash(tokens, i, i + length), lay.ids[region], (lay.at[region] + lay.offset[i]).astype(np.uint32),
         )
         yield from box.flush()
