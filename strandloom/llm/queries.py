@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, mixing, quality, rlz, sql, suffix, vectors
+from . import lines, minhash, mixing, pieces, pii, quality, rlz, sql, suffix, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.passing(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), with_scores=True)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for each page from the rules and its address's class."""
+    return urls.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and whether decoding gives the text again."""
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -56,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_url_filters": op8_url_filters,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": sql.MIXING,
     "op6_line_dedup": sql.LINES,
     "op7_quality_rules": sql.QUALITY,
+    "op8_url_filters": sql.url_sql(urls.SCHEME, urls.TRACKING, urls.CANONICAL, urls.BLOCK, urls.ALLOW),
 }

@@ -80,3 +80,39 @@ MIXING = f"""
 WITH {MIXING_CTE.format(docs="documents")}
 SELECT doc_id, src AS source, CAST(epoch AS INTEGER) AS epoch, CAST(block_rank AS INTEGER) AS block_rank FROM mixed
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_sql(scheme: str, tracking: str, canonical: tuple[str, ...], block: tuple[str, ...], allow: tuple[str, ...]) -> str:
+    """SQL for the URL filter with the operator's patterns and rules."""
+
+    def normal(u: str) -> str:
+        bare = f"regexp_replace(regexp_replace(trim({u}), '{scheme}', ''), '#.*$', '')"
+        where = f"regexp_replace(lower(regexp_extract(regexp_replace(trim({u}), '{scheme}', ''), '^(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(www|m)\\.', '')"
+        path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*(/[^?]*)', 1), '/+$', '')"
+        query = f"regexp_replace(regexp_replace(regexp_extract({bare}, '\\?(.*)$', 1), '(^|&){tracking}', '', 'g'), '^&+', '')"
+        return f"CASE WHEN trim({u}) <> '' THEN {where} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+
+    targets = ", ".join(f"regexp_extract(html, {_quoted(p)}, 1)" for p in canonical)
+    folder = f"regexp_extract(regexp_replace(url, '[?#].*$', ''), '{scheme}[^/]*(/.*/|/)?', 0)"
+    resolved = f"CASE WHEN regexp_matches(t, '{scheme}') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:', 0) || t WHEN t LIKE '/%' THEN regexp_extract(url, '{scheme}[^/?#]*', 0) || t ELSE rtrim({folder}, '/') || '/' || t END"
+    rules = lambda r: ", ".join(f"({_quoted(x.partition('/')[0])}, {_quoted(''.join(x.partition('/')[1:]))})" for x in r)
+    hit = lambda name: f"SELECT DISTINCT node FROM k, {name} r WHERE ('.' || regexp_extract(node, '^[^/?]*', 0)) LIKE '%.' || r.h AND starts_with(regexp_extract(node, '^[^/?]*(.*)$', 1), r.prefix)"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, trim(url) AS url, html, {normal('url')} AS node FROM pages),
+x AS (SELECT node, url, unnest([{targets}]) AS t FROM p WHERE node IS NOT NULL),
+r AS (SELECT node, {resolved} AS target FROM x WHERE t <> ''),
+e AS (SELECT DISTINCT node AS a, {normal('target')} AS b FROM r),
+both_ AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+n AS (SELECT node FROM p WHERE node IS NOT NULL UNION SELECT a FROM both_),
+reach(node, other) AS (SELECT node, node FROM n UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON reach.other = both_.a),
+k AS (SELECT node, min(other) AS class FROM reach GROUP BY node),
+block_rules(h, prefix) AS (VALUES {rules(block)}), allow_rules(h, prefix) AS (VALUES {rules(allow)}),
+al AS ({hit('allow_rules')}), bl AS ({hit('block_rules')}),
+bad AS (SELECT DISTINCT class FROM k WHERE node IN (SELECT node FROM bl) AND node NOT IN (SELECT node FROM al))
+SELECT page_id, p.node, k.class, CASE WHEN p.node IN (SELECT node FROM al) THEN 'allow' WHEN k.class IN (SELECT class FROM bad) THEN 'block' ELSE 'pass' END AS decision
+FROM p LEFT JOIN k ON p.node = k.node
+"""
