@@ -13,9 +13,15 @@ alpha of its good documents.
 from __future__ import annotations
 
 import math
+import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from . import flat
 
 #: Greatest share of good documents of a stratum that may be rejected, and the chance that any stratum breaks it.
 ALPHA, DELTA = 0.1, 0.1
@@ -29,20 +35,56 @@ GRID: dict[str, tuple[float, ...]] = {
 SYMBOLS = "*$#%&|!~^=<>{}[]_@+"
 
 
-def scores(text: Column) -> dict[str, Column]:
-    """Score of each rule, 0 for null and empty texts.
+def _table(chars: str) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+_SYMBOL, _UPPER, _ALPHA = _table(SYMBOLS), _table(string.ascii_uppercase), _table(string.ascii_letters)
+
+
+def measure(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Score of each rule for each text, 0 for null and empty ones.
 
     symbols: share of characters that are SYMBOLS; capitals: share of capitals among
     letters (A-Z, Latin-1); stutter: share of words, as split at single spaces, that
     equal the one before.
     """
-    words = F.split(text, " ")
-    twice = F.size(F.filter(F.arrays_zip(F.slice(words, F.lit(2), F.size(words)).alias("b"), words.alias("a")), lambda p: p["a"] == p["b"]))
-    letters = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÖØ-öø-ÿ]+", ""))
-    capitals = F.length(F.regexp_replace(text, "[^A-ZÀ-ÖØ-Þ]+", ""))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    share = lambda a, b: F.coalesce(a / F.greatest(b, F.lit(1)), F.lit(0.0))
-    return {"symbols": share(symbols, F.length(text)), "capitals": share(capitals, letters), "stutter": share(twice, F.size(words))}
+    out = {rule: np.zeros(len(texts)) for rule in GRID}
+    for chunk in flat.chunks(texts):
+        data, bound, rows = chunk.data, chunk.row_start, chunk.rows
+        after = data[1:][data[:-1] == 0xC3]
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        alpha, upper = _ALPHA[data], _UPPER[data]
+        alpha[latin] = (after != 0x97) & (after != 0xB7)
+        upper[latin] = (after <= 0x9E) & (after != 0x97)
+        count = lambda mask: np.diff(np.append(0, np.cumsum(mask))[bound])
+        share = lambda a, b: a / np.maximum(b, 1)
+        out["symbols"][rows] = share(count(_SYMBOL[data]), count((data & 0xC0) != 0x80))
+        out["capitals"][rows] = share(count(upper), count(alpha))
+        # words: between single spaces and the rows' bounds
+        space = np.flatnonzero(data == 32)
+        row = np.searchsorted(bound, space, side="right") - 1
+        order = np.argsort(np.concatenate([np.arange(len(rows)), row]), kind="stable")
+        owner = np.concatenate([np.arange(len(rows)), row])[order]
+        start = np.concatenate([bound[:-1], space + 1])[order]
+        last = np.append(owner[1:] != owner[:-1], True)
+        end = np.where(last, bound[owner + 1], np.append(start[1:] - 1, 0))
+        word = flat.ranges_hash(data.astype(np.uint64) + np.uint64(1), start, end)
+        twice = np.flatnonzero((word[1:] == word[:-1]) & (owner[1:] == owner[:-1])) + 1
+        out["stutter"][rows] = share(np.bincount(owner[twice], minlength=len(rows)), np.bincount(owner, minlength=len(rows)))
+    return out
+
+
+def scores(text: Column) -> Column:
+    """The scores of a text column as a struct, one field for each rule; other columns stay in the JVM."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = measure(texts)
+        return pa.StructArray.from_arrays([pa.array(found[rule]) for rule in GRID], names=list(GRID))
+
+    return F.arrow_udf(run, StructType([StructField(rule, DoubleType()) for rule in GRID]))(text)
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -56,8 +98,8 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> Da
     """(row, id, stratum, one column for each rule)."""
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-        *[s.alias(name) for name, s in scores(F.col(text_col)).items()],
-    )
+        scores(F.col(text_col).cast("string")).alias("score"),
+    ).select("row", "id", "stratum", "score.*")
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
@@ -95,7 +137,7 @@ def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     reject = F.lit(False)
     for (stratum, rule), cut in sorted(chosen.items()):
         reject = reject | ((F.col("stratum") == stratum) & (F.col(rule) >= cut))
-    kept = scored.where(~reject)
+    kept = scored.where(~reject) if chosen else scored
     if with_scores:
         return kept.select(F.col("id").alias("doc_id"), F.col("stratum").alias("lang"), *[F.round(rule, 6).alias(rule) for rule in GRID])
     return kept.select("row.*")
