@@ -112,12 +112,17 @@ def is_degenerate(s: Column) -> Column:
 
 def low_complexity(s: Column, least: int = 3) -> Column:
     """Fewer than so many distinct characters."""
-    return F.size(F.array_distinct(F.split(s, ""))) < least
+    return F.size(F.array_distinct(characters(s))) < least
+
+
+def characters(s: Column) -> Column:
+    """The characters of a string, one element each."""
+    return F.array_remove(F.split(s, ""), "")
 
 
 def mask(s: Column, positions: Column, with_: str = "N") -> Column:
     """s with the listed 0-based positions replaced."""
-    return F.when(F.length(s) > 0, F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(F.array_contains(positions, i), F.lit(with_)).otherwise(c)), "")).otherwise(s)
+    return F.when(F.length(s) > 0, F.array_join(F.transform(characters(s), lambda c, i: F.when(F.array_contains(positions, i), F.lit(with_)).otherwise(c)), "")).otherwise(s)
 
 
 def overlaps(a: Column, b: Column, k: Column) -> Column:

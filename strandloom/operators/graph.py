@@ -67,7 +67,8 @@ def parallel_vertices(sides: DataFrame) -> DataFrame:
     """
     per = sides.groupBy("v", "end").agg(F.array_sort(F.collect_set("neighbour")).alias("ns"))
     pair = per.groupBy("v").agg(F.array_sort(F.collect_list("ns")).alias("pair"))
-    keyed = pair.select("v", F.xxhash64("pair").alias("k1"), F.xxhash64("pair", F.lit(1)).alias("k2"))
+    text = F.to_json("pair")  # a hash of nested arrays would not see where one ends
+    keyed = pair.select("v", F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
     groups = keyed.groupBy("k1", "k2").agg(F.min("v").alias("group"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(groups, ["k1", "k2"]).select("group", "v")
 

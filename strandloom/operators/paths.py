@@ -175,7 +175,7 @@ def best_linear(tags: dict[str, float], edges: list[tuple[str, bool, str, bool]]
 
 def circular_paths_of(vertices: DataFrame, edges: DataFrame, components: DataFrame, most: int = 1000) -> DataFrame:
     """(component, path_id, nth, v, fwd) of all circles of each component; vertices: (v, copy)."""
-    links = edges.join(components.withColumnRenamed("v", "v1"), "v1").select("component", "v1", "e1", "v2", "e2")
+    links = edges.join(components.withColumnRenamed("v", "v1"), "v1").select(F.col("component").alias("of"), "v1", "e1", "v2", "e2")
     nodes = vertices.join(components, "v").select("component", "v", "copy")
     kind = dict(components.dtypes)["component"]
 
@@ -184,7 +184,7 @@ def circular_paths_of(vertices: DataFrame, edges: DataFrame, components: DataFra
         rows = [(key[0], p, i, v, d) for p, path in enumerate(found) for i, (v, d) in enumerate(path)]
         return pd.DataFrame(rows, columns=["component", "path_id", "nth", "v", "fwd"])
 
-    return nodes.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(run, f"component {kind}, path_id int, nth int, v string, fwd boolean")
+    return nodes.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(run, f"component {kind}, path_id int, nth int, v string, fwd boolean")
 
 
 def rank_paths(paths: DataFrame, by: list[str] | None = None) -> DataFrame:

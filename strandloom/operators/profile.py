@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import strings
+
 #: Quality encodings: name, least and greatest character, offset of score 0.
 ENCODINGS = (("sanger", 33, 73, 33), ("solexa", 59, 104, 64), ("illumina_1_3", 64, 104, 64), ("illumina_1_5", 67, 105, 64), ("illumina_1_8", 33, 74, 33))
 
@@ -44,7 +46,7 @@ def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
 
 def char_counts(rows: DataFrame, keys: list[str], s: Column) -> DataFrame:
     """(keys, c, n): occurrences of each character, counted in each row first so that what is shuffled is an alphabet."""
-    chars = rows.select(*keys, F.explode(F.split(s, "")).alias("c")).where("c <> ''")
+    chars = rows.select(*keys, F.explode(strings.characters(s)).alias("c"))
     return chars.groupBy(*keys, "c").agg(F.count("*").alias("n"))
 
 
@@ -82,7 +84,7 @@ def trim_characters(counts: DataFrame, keys: list[str], limit: float, least_scor
 def quality_parts(s: Column, quality: Column, low: str, least: int) -> Column:
     """Parts of s longer than least between runs of low quality characters, a character class such as '!"#' (B3, M6)."""
     marked = F.regexp_replace(quality, f"[{low}]", "\u0000")
-    keep = F.transform(F.split(s, ""), lambda c, i: F.when(F.substring(marked, i + 1, F.lit(1)) == "\u0000", F.lit("\n")).otherwise(c))
+    keep = F.transform(strings.characters(s), lambda c, i: F.when(F.substring(marked, i + 1, F.lit(1)) == "\u0000", F.lit("\n")).otherwise(c))
     return F.filter(F.split(F.array_join(keep, ""), "\n+"), lambda x: F.length(x) > least)
 
 
@@ -165,9 +167,7 @@ def draft_size(vertices: DataFrame) -> DataFrame:
 
 def reduce_by_gcd(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """rows with x divided by its key's greatest common divisor."""
-    from ..functions.strings import gcd_of
-
-    gcd = rows.groupBy(*keys).agg(F.collect_set(x).alias("__xs")).withColumn("__g", gcd_of(F.col("__xs"))).drop("__xs")
+    gcd = rows.groupBy(*keys).agg(F.collect_set(x).alias("__xs")).withColumn("__g", strings.gcd_of(F.col("__xs"))).drop("__xs")
     return rows.join(gcd, keys).withColumn(x, (F.col(x) / F.col("__g")).cast("long")).select(*rows.columns)
 
 

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def multiplicities(target: dict[str, float], balance: list[tuple[list[str], list[str]]], slack: int = 4, most_nodes: int = 200_000) -> dict[str, int] | None:
@@ -81,7 +82,7 @@ def flow_balances(vertices: list[str], edges: list[tuple[str, bool, str, bool]])
 
 def solve_components(vertices: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
     """(v, copy): multiplicities of each component's vertices (v, float_copy); null where there is no solution."""
-    links = edges.join(components.withColumnRenamed("v", "v1"), "v1").select("component", "v1", "e1", "v2", "e2")
+    links = edges.join(components.withColumnRenamed("v", "v1"), "v1").select(F.col("component").alias("of"), "v1", "e1", "v2", "e2")
     nodes = vertices.join(components, "v").select("component", "v", "float_copy")
 
     def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -89,4 +90,4 @@ def solve_components(vertices: DataFrame, edges: DataFrame, components: DataFram
         known = multiplicities(target, flow_balances(list(target), list(links[["v1", "e1", "v2", "e2"]].itertuples(index=False, name=None)))) if target else {}
         return pd.DataFrame({"v": list(target), "copy": pd.array([(known or {}).get(v) for v in target], dtype="Int32")})
 
-    return nodes.groupBy("component").cogroup(links.groupBy("component")).applyInPandas(run, "v string, copy int")
+    return nodes.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(run, "v string, copy int")

@@ -1,2 +1,145 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries on graphs that the tables hold: suppliers and parts, nations and their people, k-mers of names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strings
+from ..operators import cluster, graph, paths, solve
+from ..operators.components import connected_components
+from ._register import Register, table
+
+query = Register()
+
+_NATION = """
+node AS (SELECT 'n' || n_nationkey AS node FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey FROM customer),
+one AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b, 1 + s_suppkey % 3 AS cost FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 1 + c_custkey % 4 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1), 2 FROM nation WHERE n_nationkey < 24),
+link AS (SELECT a, b, cost FROM one UNION ALL SELECT b, a, cost FROM one)
+"""
+
+
+def _nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, cost) in both directions between nations, suppliers and customers."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    s = table(spark, sf_dir, "supplier").select(name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b"), (1 + F.col("s_suppkey") % 3).alias("cost"))
+    c = table(spark, sf_dir, "customer").select(name("n", "c_nationkey").alias("a"), name("c", "c_custkey").alias("b"), (1 + F.col("c_custkey") % 4).alias("cost"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 24").select(name("n", "n_nationkey").alias("a"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")).alias("b"), F.lit(2).cast("long").alias("cost"))
+    one = s.union(c).union(n)
+    return one.union(one.select("b", "a", "cost"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1),
+x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON x.a = r.other)
+SELECT node, min(other) AS component FROM r GROUP BY node
+""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts that first lines of 50 pieces connect (H1)."""
+    e = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
+    return connected_components(e.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v")))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_partkey AS v, l_quantity >= 48 AS e, l_suppkey % 10 AS n FROM lineitem WHERE l_quantity >= 47),
+p AS (SELECT v, e, list_sort(list(n)) AS ns FROM s GROUP BY v, e), q AS (SELECT v, list_sort(list(ns)) AS pair FROM p GROUP BY v),
+g AS (SELECT pair, min(v) AS part_a, count(*) AS n_same FROM q GROUP BY pair HAVING count(*) > 1)
+SELECT part_a, n_same FROM g
+""")
+def parallel_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the same two sets of neighbours (H5)."""
+    sides = table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_partkey").alias("v"), (F.col("l_quantity") >= 48).alias("end"), (F.col("l_suppkey") % 10).alias("neighbour"))
+    return graph.parallel_vertices(sides).groupBy(F.col("group").alias("part_a")).agg(F.count("*").alias("n_same"))
+
+
+@query(f"""
+WITH RECURSIVE {_NATION},
+r(node, q) AS (SELECT 's7', 9 UNION SELECT link.b, r.q - link.cost FROM r JOIN link ON link.a = r.node WHERE r.q - link.cost >= 0)
+SELECT node, CAST(max(q) AS BIGINT) AS best_quota FROM r GROUP BY node
+""")
+def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a quota of 9 at each node that a supplier reaches (H6, H7)."""
+    seeds = spark.createDataFrame([("s7", 9)], "node STRING, quota LONG")
+    return graph.bounded_reach(seeds, _nation_links(spark, sf_dir)).select("node", F.col("quota").alias("best_quota"))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT DISTINCT a, b FROM (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT c_custkey + 1, c_custkey FROM customer WHERE c_custkey % 9 <> 0)),
+n AS (SELECT c_custkey AS node, c_acctbal > 3000 AS tagged FROM customer),
+two AS (SELECT a, min(b) AS x, max(b) AS y FROM l GROUP BY a HAVING count(*) = 2),
+t0 AS (SELECT node FROM n WHERE tagged),
+t1 AS (SELECT node FROM t0 UNION SELECT a FROM two WHERE a IN (SELECT node FROM n) AND x IN (SELECT node FROM t0) AND y IN (SELECT node FROM t0))
+SELECT node, node IN (SELECT node FROM t1) AS tagged FROM n
+""")
+def tag_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers tagged because both neighbours in a chain are."""
+    c = table(spark, sf_dir, "customer")
+    one = c.where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return graph.tag_between(c.select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") > 3000).alias("tagged")), one.union(one.select("b", "a")))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, i, p_name[i + 1:i + 5] AS kmer, length(p_name) - 4 AS n FROM part, unnest(range(length(p_name) - 4)) u(i)),
+c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer), l AS (SELECT a.kmer AS kmer, count(DISTINCT b.kmer) AS links FROM k a JOIN k b ON a.p_partkey = b.p_partkey AND b.i = a.i + 1 GROUP BY a.kmer)
+SELECT kmer, cnt, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (kmer)
+""")
+def debruijn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of 5-letter words of names and how many different ones follow."""
+    nodes, links = graph.kmer_graph(table(spark, sf_dir, "part"), F.col("p_name"), 5)
+    out = links.groupBy(F.col("k1").alias("kmer")).agg(F.count("*").alias("links"))
+    return nodes.join(out, "kmer", "left").select("kmer", "cnt", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, i, p_name[i + 1:i + 5] AS kmer FROM part, unnest(range(length(p_name) - 4)) u(i)),
+l AS (SELECT a.kmer AS k1, b.kmer AS k2, count(*) AS cnt FROM k a JOIN k b ON a.p_partkey = b.p_partkey AND b.i = a.i + 1 GROUP BY ALL)
+SELECT k1, k2, cnt FROM l
+""")
+def debruijn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often one 5-letter word of names follows another."""
+    return graph.kmer_graph(table(spark, sf_dir, "part"), F.col("p_name"), 5)[1]
+
+
+@query()
+def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbranched runs of the k-mer graph of names."""
+    return graph.contigs(*graph.kmer_graph(table(spark, sf_dir, "part"), F.col("p_name"), 5))
+
+
+_FOUR = [("L", True, "R", False), ("R", True, "S", False), ("S", True, "R", True), ("R", False, "L", False)]
+
+
+@query()
+def circular_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles through a four-part graph, ranked by how far copies of a vertex lie apart."""
+    edges = spark.createDataFrame([(*e, 0) for e in _FOUR], "v1 STRING, e1 BOOLEAN, v2 STRING, e2 BOOLEAN, overlap INT")
+    vertices = spark.createDataFrame([("L", 1.1), ("R", 2.2), ("S", 0.9)], "v STRING, float_copy DOUBLE")
+    comp = graph.clusters(vertices, edges)
+    found = paths.circular_paths_of(solve.solve_components(vertices, edges, comp), edges, comp)
+    return paths.rank_paths(found)
+
+
+@query()
+def cluster_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price classes of parts by brand, weighted by size (G1)."""
+    return cluster.cluster_groups(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_retailprice", "p_size")
+
+
+@query("""
+WITH t AS (SELECT l_suppkey AS v, l_returnflag AS db FROM lineitem WHERE l_quantity = 50 AND l_tax > 0.07)
+SELECT v FROM t GROUP BY v HAVING NOT bool_or(db = 'R')
+""")
+def exclude_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers tagged for other flags only."""
+    t = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_tax > 0.07").select(F.col("l_suppkey").alias("v"), F.col("l_returnflag").alias("db"))
+    return graph.exclude_other(t, "R")
+
+
+@query("SELECT p_partkey, p_name[greatest(1, length(p_name) - 2):] = p_name[1:3] AS overlaps, left(p_name || p_name, length(p_name) + 4) AS padded FROM part")
+def edge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether names end as they begin, and names padded round the circle."""
+    name = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", strings.overlaps(name, name, F.lit(3)).alias("overlaps"), strings.pad_circular(name, F.lit(4)).alias("padded"))
+
+
+QUERIES, ORACLE_SQL = query.queries, query.sql
