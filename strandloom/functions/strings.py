@@ -6,6 +6,8 @@ of the operator inventory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +41,13 @@ def substrings(s: Column, width: int, step: int = 1) -> Column:
 def circular_substrings(s: Column, width: int) -> Column:
     """One substring of a width for each position of a circular string."""
     n = F.length(s)
-    padded = pad_circular(s, F.lit(width - 1))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(padded, i + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    of = lambda padded: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(padded, i + 1, F.lit(width)))
+    return F.when(n > 0, let(pad_circular(s, F.lit(width - 1)), of)).otherwise(F.array().cast("array<string>"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, where body's lambdas would compute it again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(s: Column) -> Column:
@@ -50,10 +57,23 @@ def tokens(s: Column) -> Column:
 
 def shingles(s: Column, width: int, step: int = 1) -> Column:
     """64-bit hashes of runs of tokens, at every step-th token; none if there are fewer tokens."""
-    t = tokens(s)
-    n = F.size(t)
-    run = lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), " "))
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width, F.lit(step)), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width, F.lit(step)), lambda i: shingle_at(t, i, width))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens(s), of)
+
+
+def shingle_at(t: Column, i: Column, width: int) -> Column:
+    """Hash of the run of so many tokens at i."""
+    return F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), " "))
+
+
+def probed_shingles(s: Column, width: int, jump: int) -> Column:
+    """Shingles at the probe positions of the row's tokens."""
+    return let(tokens(s), lambda t: F.transform(probe_positions(F.size(t), width, jump), lambda i: shingle_at(t, i, width)))
 
 
 def probe_positions(n: Column, width: int, jump: int) -> Column:
@@ -139,8 +159,7 @@ def pad_circular(s: Column, extra: Column) -> Column:
 def rotations(s: Column) -> Column:
     """All rotations of a circular string."""
     n = F.length(s)
-    twice = F.concat(s, s)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(twice, i + 1, n))).otherwise(F.array(s))
+    return F.when(n > 0, let(F.concat(s, s), lambda twice: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(twice, i + 1, n)))).otherwise(F.array(s))
 
 
 def least_rotation(s: Column, involution: str = "revcomp") -> Column:

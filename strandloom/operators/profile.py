@@ -83,8 +83,8 @@ def trim_characters(counts: DataFrame, keys: list[str], limit: float, least_scor
 
 def quality_parts(s: Column, quality: Column, low: str, least: int) -> Column:
     """Parts of s longer than least between runs of low quality characters, a character class such as '!"#' (B3, M6)."""
-    marked = F.regexp_replace(quality, f"[{low}]", "\u0000")
-    keep = F.transform(strings.characters(s), lambda c, i: F.when(F.substring(marked, i + 1, F.lit(1)) == "\u0000", F.lit("\n")).otherwise(c))
+    marked = strings.characters(F.regexp_replace(quality, f"[{low}]", "\u0000"))
+    keep = F.zip_with(strings.characters(s), marked, lambda c, q: F.when(q == "\u0000", F.lit("\n")).otherwise(c))
     return F.filter(F.split(F.array_join(keep, ""), "\n+"), lambda x: F.length(x) > least)
 
 

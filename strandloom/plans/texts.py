@@ -79,10 +79,7 @@ SELECT doc_id, count(*) AS n_hits FROM pw WHERE word IN (SELECT word FROM bw) GR
 """)
 def word_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a probed word in the benchmark, probed from both ends inward."""
-    docs = table(spark, sf_dir, "documents")
-    t = strings.tokens(F.col("text"))
-    probes = F.transform(strings.probe_positions(F.size(t), 8, 3), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(8)), " ")))
-    return words.semi_join_hits(docs, ["doc_id"], probes, _seed_words(spark, sf_dir))
+    return words.semi_join_hits(table(spark, sf_dir, "documents"), ["doc_id"], strings.probed_shingles(F.col("text"), 8, 3), _seed_words(spark, sf_dir))
 
 
 @query("""
