@@ -237,7 +237,7 @@ def contract(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     """The graph with unbranched runs of vertices joined (H4); vertices get path, the oriented names that they were made of.
 
     Lengths are the parts' less the overlaps; coverage is the mean weighted by each
-    part's number of positions. Runs are walked on oriented vertices and each is there
+    part's length less its overlap, plus one. Runs are walked on oriented vertices and each is there
     twice, once for each strand; the one with the lesser name is kept. A run that meets its
     own other strand is left as it is.
     """
@@ -257,7 +257,9 @@ def contract(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     by = cut.groupBy("chain", "circular").agg(F.array_sort(F.collect_list(part)).alias("ps"))
     text = F.array_join(F.transform("ps", lambda p: F.substring(p["s"], p["o"] + 1, F.length(p["s"]))), "")
     length = F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + p["len"] - p["o"])
-    weight = lambda p: (p["len"] - p["o"] + 1).cast("double")
+    # the first part has no overlap of its own: the next one's counts for it
+    ahead_of = F.coalesce(F.get("ps", F.lit(1))["o"], F.lit(0))
+    weight = lambda p: (p["len"] - F.when(p["rank"] == 0, ahead_of).otherwise(p["o"]) + 1).cast("double")
     cov = F.aggregate("ps", F.lit(0.0), lambda a, p: a + weight(p) * p["cov"]) / F.aggregate("ps", F.lit(0.0), lambda a, p: a + weight(p))
     name = F.array_join(F.transform("ps", lambda p: p["at"]["v"]), "_")
     merged = by.select("chain", "circular", name.alias("v"), length.alias("len"), F.when(F.size("ps") == 1, F.get("ps", F.lit(0))["cov"]).otherwise(cov).alias("cov"), text.alias("seq"), F.transform("ps", lambda p: p["at"]).alias("path")).checkpoint()

@@ -121,16 +121,16 @@ def band_profile(rows: DataFrame, keys: list[str], x: Column, g: float) -> DataF
     The band is ranks [floor((1-g-g/2)n), floor((1-g/2)n)), counted from 0 in rising order.
     Deviations are over the band's size and clamped to the band's range, all to 2 places.
     """
-    by = Window.partitionBy(*keys).orderBy("x")
-    ranked = rows.select(*keys, x.cast("double").alias("x")).withColumn("r", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    by = Window.partitionBy(*keys).orderBy("__x")
+    ranked = rows.select(*keys, x.cast("double").alias("__x")).withColumn("__r", F.row_number().over(by) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     lower, upper = (1 - g) - g / 2, (1 - g) + g / 2
-    band = ranked.where((F.col("r") >= F.floor(F.col("n") * F.lit(lower))) & (F.col("r") < F.floor(F.col("n") * F.lit(upper))))
-    mean = band.groupBy(*keys).agg(F.avg("x").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("k"))
-    dev = band.join(mean, keys).groupBy(*keys, "m", "lo", "hi", "k").agg(
-        F.sum(F.when(F.col("x") < F.col("m"), F.pow(F.col("x") - F.col("m"), 2)).otherwise(0.0)).alias("d"), F.sum(F.when(F.col("x") > F.col("m"), F.pow(F.col("x") - F.col("m"), 2)).otherwise(0.0)).alias("u")
-    )
-    down, up = F.sqrt(F.col("d") / F.col("k")), F.sqrt(F.col("u") / F.col("k"))
-    return dev.select(*keys, F.round(F.greatest(F.col("m") - down, F.col("lo")), 2).alias("low"), F.round("m", 2).alias("mean"), F.round(F.least(F.col("m") + up, F.col("hi")), 2).alias("high"))
+    band = ranked.where((F.col("__r") >= F.floor(F.col("__n") * F.lit(lower))) & (F.col("__r") < F.floor(F.col("__n") * F.lit(upper)))).select(*keys, "__x")
+    mean = band.groupBy(*keys).agg(F.avg("__x").alias("__m"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("*").alias("__k"))
+    off = F.pow(F.col("__x") - F.col("__m"), 2)
+    below, above = F.col("__x") < F.col("__m"), F.col("__x") > F.col("__m")
+    dev = band.join(mean, keys).groupBy(*keys, "__m", "__lo", "__hi", "__k").agg(F.sum(F.when(below, off).otherwise(0.0)).alias("__d"), F.sum(F.when(above, off).otherwise(0.0)).alias("__u"))
+    down, up = F.sqrt(F.col("__d") / F.col("__k")), F.sqrt(F.col("__u") / F.col("__k"))
+    return dev.select(*keys, F.round(F.greatest(F.col("__m") - down, F.col("__lo")), 2).alias("low"), F.round("__m", 2).alias("mean"), F.round(F.least(F.col("__m") + up, F.col("__hi")), 2).alias("high"))
 
 
 def weight_trimmed_range(rows: DataFrame, keys: list[str], x: Column, weight: Column, order: list[str], drop_low: float = 0.1, drop_high: float = 0.4) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql.window import Window
 
 
 def _late(events: DataFrame, ts: str, watermark: str | None) -> DataFrame:
-    return events.withWatermark(ts, watermark) if watermark and events.isStreaming else events
+    if not (watermark and events.isStreaming):
+        return events
+    # watermarks need a time with a zone
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
 
 
 def tumbling(events: DataFrame, width: str, ts: str = "ts", key: str = "event_type", value: str = "value", watermark: str | None = None) -> DataFrame:
@@ -42,7 +45,7 @@ def first_in_bucket(events: DataFrame, keys: list[str], width: str, ts: str = "t
 def dedup(events: DataFrame, keys: list[str], watermark: str, ts: str = "ts") -> DataFrame:
     """One row of each key within the watermark; on a stream, state lives no longer than that."""
     if events.isStreaming:
-        return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+        return _late(events, ts, watermark).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
 
 
