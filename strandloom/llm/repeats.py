@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from . import blocks, flat
 
-#: Tokens of the k-grams that winnowing picks from.
-GRAM = 20
+
+
+def gram_of(length: int) -> int:
+    """Tokens of the k-grams that winnowing picks from: two fifths of the windows' length."""
+    return max(1, 2 * length // 5)
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -62,7 +65,7 @@ def anchors(docs: DataFrame, length: int, n: int) -> DataFrame:
             for chunk in flat.chunks(batch.column(1)):
                 chunk.tokenize()
                 rows = chunk.token_rows()
-                at, grams = winnow(chunk.hashes(), chunk.row_token, rows, length, GRAM)
+                at, grams = winnow(chunk.hashes(), chunk.row_token, rows, length, gram_of(length))
                 row = rows[at]
                 yield from box.add(blocks.by_hash(grams, n), grams, ids[chunk.rows[row]].astype(np.int64), (at - chunk.row_token[row]).astype(np.uint32))
         yield from box.flush()
@@ -118,7 +121,7 @@ def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, l
     """Sorted chunk positions of the windows that hold a place; places and rows as found, in any order."""
     first = row_token[rows]
     last = row_token[rows + 1] - length
-    lo = np.maximum(first, first + places - (length - GRAM))
+    lo = np.maximum(first, first + places - (length - gram_of(length)))
     hi = np.minimum(last, first + places)
     ok = hi >= lo
     mark = np.zeros(int(row_token[-1]) + 2, dtype=np.int32)
