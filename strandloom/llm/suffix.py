@@ -338,7 +338,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc
         sent = sent.select("pid", "data", none.alias("tokens"), none.alias("regions"))
         return sent.union(home.select("pid", none, F.col("tokens") if tokens else none, "regions")).repartitionById(n, "pid")
 
-    names = blocks.send(home, _triples(g, n), n).mapInArrow(_name_symbols(n), blocks.WIRE)
+    names = blocks.send(home, _triples(g, n), n).mapInArrow(_name_symbols(n), blocks.WIRE).checkpoint()
+    release(spark)
     ranks = at_home(names, False).mapInArrow(_recursion(g, n), blocks.WIRE).repartitionById(n, "pid").mapInArrow(_name_names(n), blocks.WIRE).checkpoint()
     del names
     release(spark)
