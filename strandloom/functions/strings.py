@@ -63,17 +63,21 @@ def shingles(s: Column, width: int, step: int = 1) -> Column:
         n = F.size(t)
         return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width, F.lit(step)), lambda i: shingle_at(t, i, width))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(tokens(s), of)
+    return let(_token_hashes(s), of)
 
 
-def shingle_at(t: Column, i: Column, width: int) -> Column:
-    """Hash of the run of so many tokens at i."""
-    return F.xxhash64(F.array_join(F.slice(t, i + 1, F.lit(width)), " "))
+def _token_hashes(s: Column) -> Column:
+    return F.transform(tokens(s), lambda t: F.xxhash64(t))
+
+
+def shingle_at(hashes: Column, i: Column, width: int) -> Column:
+    """Hash of the run of so many tokens at i, from the tokens' hashes: each token is hashed once, not once a run."""
+    return F.xxhash64(F.slice(hashes, i + 1, F.lit(width)))
 
 
 def probed_shingles(s: Column, width: int, jump: int) -> Column:
     """Shingles at the probe positions of the row's tokens."""
-    return let(tokens(s), lambda t: F.transform(probe_positions(F.size(t), width, jump), lambda i: shingle_at(t, i, width)))
+    return let(_token_hashes(s), lambda t: F.transform(probe_positions(F.size(t), width, jump), lambda i: shingle_at(t, i, width)))
 
 
 def probe_positions(n: Column, width: int, jump: int) -> Column:

@@ -25,10 +25,10 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
     nothing is new, after max_supersteps, or once more than max_words words are known.
     """
     ensure_checkpoint_dir(probes.sparkSession)
-    if exclude is not None:
-        probes = probes.join(exclude.select("id"), "id", "left_anti")
-        words = words.join(exclude.select("id"), "id", "left_anti")
-    probes, words = probes.checkpoint(), (words if words is not probes else probes).checkpoint()
+    allowed = lambda t: (t if exclude is None else t.join(exclude.select("id"), "id", "left_anti")).checkpoint()
+    same = words is probes
+    probes = allowed(probes)
+    words = probes if same else allowed(words)
     delta = seeds.select("word").distinct().checkpoint()
     known = delta
     accepted = probes.sparkSession.createDataFrame([], probes.select("id", F.lit(0).alias("superstep")).schema)

@@ -144,7 +144,7 @@ def test_genbank(spark, tmp_path):
     assert rows(f.where("feature <> 'source'"), "feature", "start", "end", "strand", "part") == [("CDS", 1, 4, 1, 0), ("CDS", 7, 10, 1, 1), ("tRNA", 14, 17, -1, 0)]
     assert f.where("feature = 'CDS'").first()["quals"]["product"] == "thing one two"
     found = annotations.regions(f, s)
-    assert rows(found, "name", "seq") == [("abc", "CGTTAC"), ("trnL", "ACG")]
+    assert rows(found, "name", "seq") == [("abc", "CGTTAC"), ("trnL", "TAC")]
     assert rows(annotations.region_statistics(found, ["abc", "nope"])) == [("X1", "6", "-")]
     text = annotations.tbl_lines(f).first()["value"]
     assert text.startswith(">Feature X1\n2\t4\tCDS\n8\t10") and "17\t15\ttRNA" in text
