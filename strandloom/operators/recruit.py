@@ -24,14 +24,23 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
     one accepted member brings in the others in the same superstep (D4).  It stops when
     nothing is new, after max_supersteps, or once more than max_words words are known.
     """
-    ensure_checkpoint_dir(probes.sparkSession)
-    allowed = lambda t: (t if exclude is None else t.join(exclude.select("id"), "id", "left_anti")).checkpoint()
-    same = words is probes
-    probes = allowed(probes)
-    words = probes if same else allowed(words)
+    spark = probes.sparkSession
+    ensure_checkpoint_dir(spark)
     delta = seeds.select("word").distinct().checkpoint()
-    known = delta
-    accepted = probes.sparkSession.createDataFrame([], probes.select("id", F.lit(0).alias("superstep")).schema)
+    same = words is probes
+    if exclude is not None:
+        gone = exclude.select("id")
+        probes = probes.join(gone, "id", "left_anti")
+        words = probes if same else words.join(gone, "id", "left_anti")
+    if max_words is None:
+        # a word of one row alone, and of no seed, leads nowhere: most words are such
+        all_of = probes if same else probes.select("id", "word").union(words.select("id", "word"))
+        shared = all_of.groupBy("word").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("word").union(delta).distinct()
+        probes, words = probes.join(shared, "word", "left_semi"), words if same else words.join(shared, "word", "left_semi")
+    probes = probes.select("id", "word").checkpoint()
+    words = probes if same else words.select("id", "word").checkpoint()
+    accepted = _Parts(spark.createDataFrame([], probes.select("id", F.lit(0).alias("superstep")).schema))
+    known = _Parts(delta)
     step = 0
     while max_supersteps is None or step < max_supersteps:
         step += 1
@@ -39,15 +48,33 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
         if groups is not None:
             members = groups.join(groups.join(hit, "id", "left_semi").select("group_id").distinct(), "group_id", "left_semi").select("id")
             hit = hit.union(members if exclude is None else members.join(exclude.select("id"), "id", "left_anti")).distinct()
-        new = hit.join(accepted, "id", "left_anti").select("id", F.lit(step).alias("superstep")).checkpoint()
+        new = hit.join(accepted.all(), "id", "left_anti").select("id", F.lit(step).alias("superstep")).checkpoint()
         if new.isEmpty():
             break
-        accepted = accepted.union(new).checkpoint()
-        delta = words.join(new, "id", "left_semi").select("word").distinct().join(known, "word", "left_anti").checkpoint()
-        known = known.union(delta).checkpoint()
-        if max_words is not None and known.count() > max_words:
+        accepted.add(new)
+        delta = words.join(new, "id", "left_semi").select("word").distinct().join(known.all(), "word", "left_anti").checkpoint()
+        known.add(delta)
+        if max_words is not None and known.all().count() > max_words:
             break
-    return accepted
+    return accepted.all()
+
+
+class _Parts:
+    """A table that grows by written parts; they are written as one from time to time, so that plans stay small."""
+
+    def __init__(self, first: DataFrame, most: int = 12):
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [self.all().checkpoint()]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.union(part)
+        return out
 
 
 def superstep_counts(accepted: DataFrame) -> DataFrame:
