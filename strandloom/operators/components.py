@@ -16,10 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the session names in spark.checkpoint.dir, or that its context has.
+
+    Only a local session that names none gets a temporary folder; on a cluster that would
+    be a folder of one machine, so it is an error there.
+    """
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
+    return context.getCheckpointDir().get()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; only where none is named, one of our own."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+    """Make checkpoint() usable."""
+    shared_folder(spark)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

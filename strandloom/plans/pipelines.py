@@ -61,10 +61,10 @@ def from_rows(reads: DataFrame, seeds: DataFrame, options: Options = Options(),
     rows = index_rows(reads, options).checkpoint()
     probes = words.word_table(rows, "id", _canonical_probes("parts", options.word, options.probe_step))
     built = words.word_table(rows, "id", _canonical_words("parts", options.word, options.build_step))
-    seed_words = seeds.select(F.explode(_canonical_words("__s", options.word, 1)).alias("word")) if "__s" in seeds.columns else seeds.select(F.array("seq").alias("__s")).select(F.explode(_canonical_words("__s", options.word, 1)).alias("word"))
-    gone = None
+    all_words = lambda t: t.select(F.array("seq").alias("__s")).select(F.explode(_canonical_words("__s", options.word, 1)).alias("word")).distinct()
+    seed_words, gone = all_words(seeds), None
     if exclude is not None:
-        bad = exclude.select(F.array("seq").alias("__s")).select(F.explode(_canonical_words("__s", options.word, 1)).alias("word")).distinct()
+        bad = all_words(exclude)
         gone = words.word_table(rows, "id", _canonical_words("parts", options.word, 1)).join(bad, "word", "left_semi").select("id").distinct()
     groups = recruit.pregroup(built.join(rows.where("n > 1").select("id"), "id", "left_semi")) if group else None
     accepted = recruit.recruit(probes, built, seed_words, gone, groups, options.max_supersteps, options.max_words)

@@ -101,23 +101,83 @@ def tbl_lines(features: DataFrame, kinds: tuple[str, ...] = ("gene", "CDS", "tRN
     return whole.select("record", F.concat(F.lit(">Feature "), "record", F.lit("\n"), "b").alias("value"))
 
 
-#: Fields of a run's summary and the patterns of the log lines that fill them.
-LOG_FIELDS = {
-    "seed_reads": r"Seed reads.*?:\s*(\S+)", "word_size": r"(?:Setting|Estimated) word[- ]size.*?[:=]\s*(\d+)", "accepted_reads": r"(?:Accepted|Extended) reads.*?:\s*(\d+)", "average_coverage": r"[Aa]verage .*?coverage.*?[:=]\s*([0-9.]+)", "result_status": r"Result status.*?:\s*(.+)$",
-    "paths": r"Writing (?:output|PATH)\s*(\d+)", "lengths": r"[Tt]otal length.*?[:=]\s*(\d+)", "unmapped_lengths": r"[Uu]nmapped .*?length.*?[:=]\s*(\d+)", "total_time": r"Total cost\s*([0-9.]+)",
-}
-
-
-def read_logs(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
-    """(sample, one column for each field): values in order, several joined by " & " (A18, A19); the sample is the file's folder.
-
-    Each line carries its place, so values keep the log's order.
+_SAYS = r" - (?:INFO|WARNING):\s+"
+#: Fields of a run's summary: how several values become one, and the pattern of the value in a log line.
+#: last: the latest; all: in order, joined by " & "; sum; yes: whether there is a line; bytes: the latest of a number and its unit.
+LOG_FIELDS: dict[str, tuple[str, str]] = {
+    "accepted_lines": ("last", _SAYS + r"Round \d+: \S+ \S+ (\d+)"),
+    "accepted_words": ("last", _SAYS + r"Round \d+: \S+ \S+ \d+ \S+ (\d+)"),
+    "circular": ("yes", _SAYS + "(Result status.*circular genome)"),
+    "closest_seed": ("all", _SAYS + "Closest .*seed sequence: (.+)$"),
+    "degenerate_base_used": ("yes", r"(Ambiguous base\(s\) used)"),
+    "dup_used": ("last", _SAYS + r".*?(\d+)(?: \S+)? used/duplicated$"),
+    "estimated_base_coverage": ("all", _SAYS + r"Estimated .*base-coverage = (\S+)$"),
+    "fastq_format": ("last", _SAYS + "Identified quality encoding format = (.+)$"),
+    "k": ("last", r"(?:Setting '| )-k ([0-9,]+)"),
+    "library_deviation": ("last", _SAYS + r"Insert size = [^,]+, [^=]+ = ([0-9.]+)"),
+    "library_left": ("last", _SAYS + r"Insert size = [^,]+, [^,]+, [^=]+ = ([0-9.]+)"),
+    "library_right": ("last", _SAYS + r"Insert size = [^,]+, [^,]+, [^,]+, [^=]+ = ([0-9.]+)"),
+    "library_size": ("last", _SAYS + r"Insert size = ([0-9.]+)"),
+    "max_extending_len": ("last", r"Setting '--max-extending-len ([^']+)'"),
+    "max_read_len": ("last", _SAYS + r"Mean = .* = (\S+) bp"),
+    "mean_error_rate": ("last", _SAYS + r"Mean error rate = (\S+)$"),
+    "mean_read_len": ("last", _SAYS + r"Mean = (\S+) bp"),
+    "mem_dup": ("bytes", r"Mem ([0-9.]+ [KMG]).*candidates in all"),
+    "mem_extending": ("bytes", _SAYS + r"Round \d+: .* Mem ([0-9.]+)$"),
+    "mem_group": ("bytes", r"Mem ([0-9.]+ [KMG]).*groups made"),
+    "mem_used": ("bytes", r"Mem ([0-9.]+ [KMG]).*used/duplicated$"),
+    "n_reads": ("last", _SAYS + r"(?:Mem [^,]*, )?\d+ \S+ \S+ \S+ (\d+) .*$"),
+    "n_unique_reads": ("last", _SAYS + r"(?:Mem [^,]*, )?(\d+) candidates in all"),
+    "num_reads_1": ("last", _SAYS + r"Reads used = (\S+)$"),
+    "num_reads_2": ("last", _SAYS + r"Reads reduced to = (\S+)$"),
+    "phred_offset": ("last", _SAYS + r"Phred offset = (\d+)"),
+    "pre_w": ("last", r"Setting '--pre-w ([^']+)'"),
+    "res_base_cov": ("all", _SAYS + r"Average .*base-coverage.* = (\S+)$"),
+    "res_kmer": ("all", _SAYS + r"Writing PATH1 .*\.K(\d+)\."),
+    "res_kmer_cov": ("all", _SAYS + r"Average .*kmer-coverage.* = (\S+)$"),
+    "res_path_count": ("all", _SAYS + r"Writing PATH(\d+) "),
+    "rounds": ("last", _SAYS + r"Round (\d+):"),
+    "seed_read_filesize": ("all", _SAYS + r"Seed reads made: .*\((\S+)"),
+    "time": ("sum", r"Total cost ([0-9.]+)"),
+    "trim_chars": ("last", _SAYS + r"Trimming bases with qualities [^:]*:\s*.*?  (.+)$"),
+    "trim_int": ("last", _SAYS + r"Trimming bases with qualities [^:]*:\s*(.*?)  "),
+    "trim_percent": ("last", _SAYS + r"Trimming bases with qualities \(([^)]*)\)"),
+    "type": ("last", r" -F (\S+)"),
+    "unmapped_lengths": ("all", _SAYS + r"Unmapped percentage .*unmapped lengths (.*?) \.\."),
+    "unmapped_percentage": ("all", _SAYS + r"Unmapped percentage (\S+)"),
+    "w": ("last", r"(?:Setting '| )-w ([0-9.]+)"),
+}
+
+
+def read_logs(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]] | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """(sample, one column for each field) (A18, A19); the sample is the file's folder.
+
+    Each line carries its place, so values keep the log's order. With the usual fields there
+    are n_bases, mem_max and, from lengths (sample, res_len) of the paths written, res_len.
     """
-    fields = fields or LOG_FIELDS
+    usual, fields = fields is None, fields or LOG_FIELDS
     lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("sample"), F.monotonically_increasing_id().alias("at"), "value")
-    found = [F.when(F.regexp_extract("value", p, 1) != "", F.struct("at", F.regexp_extract("value", p, 1).alias("x"))).alias(k) for k, p in fields.items()]
-    joined = [F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(k)), lambda s: s["x"]), " & "), F.lit("")).alias(k) for k in fields]
-    return lines.select("sample", *found).groupBy("sample").agg(*joined)
+    text = lambda p: F.regexp_extract("value", p, 1)
+    found = [F.when(text(p) != "", F.struct("at", text(p).alias("x"))).alias(k) for k, (_, p) in fields.items()]
+
+    def one(k: str, rule: str):
+        last = F.max(k)["x"]
+        if rule == "all":
+            return F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(k)), lambda s: s["x"]), " & "), F.lit(""))
+        if rule == "sum":
+            return F.sum(F.col(k)["x"].try_cast("double"))
+        if rule == "yes":
+            return F.when(F.count(k) > 0, "yes").otherwise("no")
+        if rule == "bytes":
+            unit = F.when(last.endswith("K"), 1 << 10).when(last.endswith("M"), 1 << 20).otherwise(1 << 30)
+            return (F.substring_index(last, " ", 1).try_cast("double") * unit).cast("long")
+        return last
+
+    out = lines.select("sample", *found).groupBy("sample").agg(*[one(k, rule).alias(k) for k, (rule, _) in fields.items()])
+    if not usual:
+        return out
+    out = out.withColumn("n_bases", (F.col("mean_read_len").try_cast("double") * F.col("n_reads").try_cast("long")).cast("long")).withColumn("mem_max", F.greatest("mem_dup", "mem_extending", "mem_group", "mem_used"))
+    return out.join(lengths, "sample", "left") if lengths is not None else out
 
 
 def write_summary(rows: DataFrame, path: str, columns: list[str], mode: str = "error") -> None:

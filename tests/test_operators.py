@@ -62,6 +62,20 @@ def test_repeats_direct_and_inverted(spark):
     assert rows(arch) == [(1, None, None, None, "no repeat"), (2, 3, 0, 4, "four parts")]
 
 
+def test_isomers_have_one_layout(spark):
+    rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rng = random.Random(4)
+    outer, inner, repeat = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (30, 12, 20))
+    made = [(o + repeat + i + rc(repeat), len(o)) for o in (outer, rc(outer)) for i in (inner, rc(inner))]
+    made += [(rc(t), 0) for t, _ in made]
+    data = []
+    for k, (t, _) in enumerate(made):
+        at = min(p for p in range(len(t) - 19) if rc(t[p : p + 20]) in t[p + 20 :] and len(t[p : p + 20]) == 20)
+        data.append((k, t, at, t.index(rc(t[at : at + 20]), at + 20)))
+    df = spark.createDataFrame(data, "k int, s string, a int, b int")
+    assert df.select(words.canonical_layout(F.col("s"), F.col("a"), F.col("b"), F.lit(20)).alias("x")).distinct().count() == 1
+
+
 def test_word_distance_is_zero_for_equal_texts(spark):
     p = spark.createDataFrame([(1, 2, "abab", "abab"), (1, 3, "abab", "cdcd")], "a int, b int, x string, y string")
     got = {r["b"]: r["dist"] for r in words.word_distance(p, strings.substrings(F.col("x"), 2), strings.substrings(F.col("y"), 2)).collect()}

@@ -151,11 +151,33 @@ def test_genbank(spark, tmp_path):
     assert annotations.parse_location("complement(join(1..3,complement(5..6)))") == [(4, 6, 1), (0, 3, -1)]
 
 
+LOG = """Python 3 / x -F kind_a -w 0.6 -k 21,55 -o out
+2020-01-01 00:00:00,000 - INFO: Mean = 149.5 bp, maximum = 150 bp.
+2020-01-01 00:00:00,000 - INFO: Reads used = 100+100
+2020-01-01 00:00:00,000 - INFO: Trimming bases with qualities (0.10%): 33..35  !"#
+2020-01-01 00:00:00,000 - INFO: Estimated a base-coverage = 12.5
+2020-01-01 00:00:00,000 - INFO: Estimated b base-coverage = 7
+2020-01-01 00:00:00,000 - INFO: Setting '-w 95'
+2020-01-01 00:00:00,000 - INFO: Mem 1.5 M, 180 candidates in all 200 reads
+2020-01-01 00:00:00,000 - INFO: Round 1: 200/200 AI 20 AW 400 Mem 0.5
+2020-01-01 00:00:00,000 - INFO: Round 2: 200/200 AI 30 AW 600 Mem 0.5
+2020-01-01 00:00:00,000 - INFO: Writing PATH1 of x to a.K55.complete.1.fasta
+2020-01-01 00:00:00,000 - INFO: Result status of x: circular genome
+Total cost 12.5 s
+Total cost 2.5 s
+"""
+
+
 def test_logs_and_summary(spark, tmp_path):
     (tmp_path / "s1").mkdir()
-    (tmp_path / "s1/log.txt").write_text("x\nWriting PATH1 of a\nWriting PATH2 of b\nTotal cost 12.5 s\n")
-    got = annotations.read_logs(spark, str(tmp_path / "s1/log.txt"))
-    assert rows(got, "sample", "paths", "total_time", "lengths") == [("s1", "1 & 2", "12.5", None)]
+    (tmp_path / "s1/log.txt").write_text(LOG)
+    got = annotations.read_logs(spark, str(tmp_path / "s1/log.txt"), lengths=spark.createDataFrame([("s1", "150+9")], "sample string, res_len string"))
+    r = got.first().asDict()
+    want = {"sample": "s1", "type": "kind_a", "w": "95", "k": "21,55", "mean_read_len": "149.5", "max_read_len": "150", "num_reads_1": "100+100", "trim_int": "33..35", "trim_chars": '!"#', "trim_percent": "0.10%", "estimated_base_coverage": "12.5 & 7", "mem_dup": 3 << 19, "n_unique_reads": "180"}
+    want |= {"rounds": "2", "accepted_lines": "30", "accepted_words": "600", "mem_extending": 1 << 29, "res_kmer": "55", "res_path_count": "1", "circular": "yes", "degenerate_base_used": "no", "time": 15.0, "n_reads": "200", "n_bases": 29900, "mem_max": 1 << 29, "res_len": "150+9", "pre_w": None}
+    assert {k: r[k] for k in want} == want
+    assert rows(annotations.read_logs(spark, str(tmp_path / "s1/log.txt"), {"n": ("all", "Round ([0-9])")})) == [("s1", "1 & 2")]
+    got = got.withColumnRenamed("res_path_count", "paths")
     annotations.write_summary(got, str(tmp_path / "sum"), ["sample", "paths", "absent"])
     assert spark.read.csv(str(tmp_path / "sum"), sep="\t", header=True).columns == ["sample", "paths", "absent"]
     assert rows(annotations.rounds_of(spark, str(tmp_path / "s1")), "folder") == [("s1",)]
