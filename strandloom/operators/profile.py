@@ -45,7 +45,7 @@ def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
 
 
 def char_counts(rows: DataFrame, keys: list[str], s: Column) -> DataFrame:
-    """(keys, c, n): occurrences of each character, counted in each row first so that what is shuffled is an alphabet."""
+    """(keys, c, n): occurrences of each character; partial aggregates leave alphabets to be shuffled."""
     chars = rows.select(*keys, F.explode(strings.characters(s)).alias("c"))
     return chars.groupBy(*keys, "c").agg(F.count("*").alias("n"))
 

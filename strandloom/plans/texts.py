@@ -83,14 +83,14 @@ def word_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT DISTINCT text[i + 1:i + 20] AS word FROM benchmark, unnest(range(length(text) - 19)) u(i)),
-c AS (SELECT DISTINCT conv_id, turn, text[i + 1:i + 20] AS word FROM conversations, unnest(range(0, length(text) - 19, 3)) u(i))
+WITH b AS (SELECT DISTINCT text[i + 1:i + 10] AS word FROM benchmark, unnest(range(length(text) - 9)) u(i)),
+c AS (SELECT DISTINCT conv_id, turn, text[i + 1:i + 10] AS word FROM conversations, unnest(range(0, length(text) - 9, 3)) u(i))
 SELECT conv_id, turn, count(*) AS n_hits FROM c WHERE word IN (SELECT word FROM b) GROUP BY conv_id, turn
 """)
 def constant_words_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that share 20 characters with the benchmark, at every third place."""
-    vocabulary = table(spark, sf_dir, "benchmark").select(F.explode(strings.substrings(F.col("text"), 20)).alias("word"))
-    return words.semi_join_hits(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], strings.substrings(F.col("text"), 20, 3), vocabulary)
+    """Turns that share 10 characters with the benchmark, at every third place."""
+    vocabulary = table(spark, sf_dir, "benchmark").select(F.explode(strings.substrings(F.col("text"), 10)).alias("word"))
+    return words.semi_join_hits(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], strings.substrings(F.col("text"), 10, 3), vocabulary)
 
 
 @query(f"WITH {_W8} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dw WHERE word IN (SELECT word FROM bw))")
