@@ -23,7 +23,8 @@ m AS (SELECT user_id, min(lo) AS lo, max(hi) AS hi, max(score) AS score FROM h G
 
 
 def _seconds(ts: Column) -> Column:
-    return F.unix_timestamp(ts)
+    """Whole seconds since 1970 of a time without a zone, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

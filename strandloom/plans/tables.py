@@ -224,7 +224,7 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag,
 """)
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, filter and aggregate: the plain relational path."""
-    t = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    t = table(spark, sf_dir, "lineitem").where("l_shipdate <= '1998-09-02'")
     return t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
