@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import strings
 from .components import ensure_checkpoint_dir
 
 
@@ -59,6 +60,25 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
     return accepted.all()
 
 
+def recruit_rows(
+    rows: DataFrame, seeds: DataFrame, word: int, probe_step: int = 3, build_step: int = 2, involution: str = "identity", exclude: DataFrame | None = None,
+    groups: DataFrame | None = None, max_supersteps: int | None = None, max_words: int | None = None,
+) -> DataFrame:
+    """(row_id, superstep) of rows (row_id, s) recruited by substrings of a width from seeds (s).
+
+    Rows are probed every probe_step places from both ends and add words every build_step;
+    seeds are cut at every place. Words closed under an involution are kept as the lesser of
+    both. With build_step above 1 the fixpoint depends on it.
+    """
+    each = lambda words: F.array_distinct(F.transform(words, lambda w: strings.canonical(w, involution)))
+    s = F.col("s")
+    at_probes = F.transform(strings.probe_positions(F.length(s), word, probe_step), lambda i: F.substring(s, i + 1, F.lit(word)))
+    cut = lambda t, words: t.select(F.col("row_id").alias("id"), F.explode(each(words)).alias("word"))
+    seed_words = seeds.select(F.explode(each(strings.substrings(s, word))).alias("word"))
+    found = recruit(cut(rows, at_probes), cut(rows, strings.substrings(s, word, build_step)), seed_words, exclude, groups, max_supersteps, max_words)
+    return found.withColumnRenamed("id", "row_id")
+
+
 class _Parts:
     """A table that grows by written parts; they are written as one from time to time, so that plans stay small."""
 

@@ -73,6 +73,47 @@ def covered(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("op").isin("M", "=", "X")).select("ref", "lo", "hi")
 
 
+def mismatches(hits: DataFrame) -> DataFrame:
+    """(ref, op, lo, hi) with op X for every mismatched base that an MD tag tells.
+
+    The tag is read token by token: a number goes on by so many positions, a deletion by
+    its bases, and a letter is one mismatch.
+    """
+    begin = F.struct(F.col("pos").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        size = F.when(p.rlike("^[0-9]+$"), p.try_cast("long")).when(p.startswith("^"), F.length(p) - 1).otherwise(1)
+        return F.struct((a["at"] + size).alias("at"), F.when(p.rlike("^[A-Za-z]$"), F.array_append(a["out"], a["at"])).otherwise(a["out"]).alias("out"))
+
+    rows = hits.where("is_mapped").withColumn("md", F.try_element_at("tags", F.lit("MD"))).where("md IS NOT NULL")
+    at = rows.select("ref", F.explode(F.aggregate(md_parts(F.col("md")), begin, step)["out"]).alias("p"))
+    return at.select("ref", F.lit("X").alias("op"), F.col("p").alias("lo"), F.col("p").alias("hi"))
+
+
+def operation_statistics(blocks: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, op, mean, std): depth of each operation over a reference's positions, and over all of them where ref is null.
+
+    blocks: (ref, op, lo, hi); refs: (ref, real_len). Positions without the operation count
+    as 0; depths come as runs, so sums are over runs and not over positions.
+    """
+    from ..operators.intervals import depth
+
+    runs = depth(blocks.join(refs.select("ref"), "ref", "left_semi"), ["ref", "op"])
+    n = F.col("hi") - F.col("lo") + 1
+    by = runs.groupBy("ref", "op").agg(F.sum(F.col("depth") * n).alias("s"), F.sum(F.col("depth") * F.col("depth") * n).alias("q"))
+    # an operation that a reference lacks still has its positions
+    whole = refs.select("ref", "real_len").join(by.select("op").distinct()).join(by, ["ref", "op"], "left")
+    sums = whole.groupingSets([[F.col("ref"), F.col("op")], [F.col("op")]], F.col("ref"), F.col("op")).agg(F.sum(F.coalesce("s", F.lit(0))).alias("s"), F.sum(F.coalesce("q", F.lit(0))).alias("q"), F.sum("real_len").alias("n"))
+    mean = F.col("s") / F.col("n")
+    return sums.select("ref", "op", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+
+
+def error_rates(statistics: DataFrame) -> DataFrame:
+    """(ref, error): mismatches, insertions and deletions over matches."""
+    of = lambda *ops: F.sum(F.when(F.col("op").isin(*ops), F.col("mean")).otherwise(0.0))
+    return statistics.groupBy("ref").agg((of("X", "I", "D") / of("M", "=")).alias("error"))
+
+
 BLAST = "query STRING, subject STRING, pident DOUBLE, length INT, mismatch INT, gapopen INT, qstart LONG, qend LONG, sstart LONG, send LONG, evalue DOUBLE, bitscore DOUBLE"
 
 

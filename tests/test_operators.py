@@ -28,6 +28,13 @@ def test_recruit_by_supersteps(spark):
     assert rows(recruit.superstep_counts(recruit.recruit(w, w, seeds))) == [(1, 1, 1), (2, 1, 2)]
 
 
+def test_recruit_of_rows_over_both_strands(spark):
+    r = spark.createDataFrame([(1, "ACCGG"), (2, "CGGTT"), (3, "TTTTT"), (4, "GGTTA")], "row_id long, s string")
+    seeds = spark.createDataFrame([("AACC",)], "s string")
+    assert rows(recruit.recruit_rows(r, seeds, 3, 1, 1)) == [(1, 1), (2, 2), (4, 3)]
+    assert rows(recruit.recruit_rows(r, seeds, 3, 1, 1, "revcomp")) == [(1, 1), (2, 1), (4, 1)]
+
+
 def test_recruit_excludes_and_groups(spark):
     w, seeds = _recruit_rows(spark)
     assert rows(recruit.recruit(w, w, seeds, exclude=spark.createDataFrame([(1,)], "id long"))) == []

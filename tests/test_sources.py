@@ -75,6 +75,16 @@ def test_insertions_are_on_the_site_before(spark):
     assert rows(alignments.aligned_blocks(h), "op", "lo", "hi") == [("I", 6, 6), ("M", 5, 6), ("M", 7, 7)]
 
 
+def test_operations_of_an_alignment(spark):
+    h = spark.createDataFrame([("q", True, "S", 2, 9, "3M1D2M", True, {"MD": "1A1^C2"})], "name string, is_first boolean, ref string, pos long, mapq int, cigar string, is_mapped boolean, tags map<string,string>")
+    assert rows(alignments.mismatches(h)) == [("S", "X", 3, 3)]
+    refs = spark.createDataFrame([("S", 10), ("T", 10)], "ref string, real_len long")
+    stats = alignments.operation_statistics(alignments.aligned_blocks(h).union(alignments.mismatches(h)), refs)
+    got = {(r["ref"], r["op"]): (round(r["mean"], 6), round(r["std"], 6)) for r in stats.collect()}
+    assert got["S", "M"] == (0.5, 0.5) and got["T", "M"] == (0.0, 0.0) and got[None, "M"] == (0.25, round(0.1875**0.5, 6)) and got["S", "D"] == (0.1, 0.3)
+    assert {r["ref"]: round(r["error"], 6) if r["error"] is not None else None for r in alignments.error_rates(stats.where("ref = 'S' OR ref IS NULL")).collect()} == {"S": 0.4, None: 0.4}
+
+
 def test_blast(spark, tmp_path):
     (tmp_path / "b.tab").write_text("q\ts\t99.5\t10\t0\t0\t20\t11\t1\t10\t1e-5\t50\n")
     assert rows(alignments.read_blast(spark, str(tmp_path / "b.tab")), "query", "qlo", "qhi", "pident") == [("q", 11, 20, 99.5)]
