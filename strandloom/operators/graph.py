@@ -338,6 +338,34 @@ def gap_vertices(new: DataFrame, fill: str = "N") -> tuple[DataFrame, DataFrame]
     return vertices, symmetric(into.union(out))
 
 
+def scaffold_jumps(scaffolds: DataFrame) -> DataFrame:
+    """(v1, e1, v2, e2, node) for every gap between neighbouring sub-paths of a scaffold.
+
+    scaffolds: (node, sub_path, path) with path an array of (v, fwd).
+    """
+    by = Window.partitionBy("node").orderBy("sub_path")
+    t = scaffolds.where(F.size("path") > 0).withColumn("a", F.element_at("path", -1)).withColumn("b", F.lead(F.get("path", F.lit(0))).over(by)).where("b IS NOT NULL")
+    return t.select(F.col("a.v").alias("v1"), F.col("a.fwd").alias("e1"), F.col("b.v").alias("v2"), (~F.col("b.fwd")).alias("e2"), "node")
+
+
+def bridge_with_scaffolds(vertices: DataFrame, edges: DataFrame, scaffolds: DataFrame, gap: int = 10, fill: str = "N") -> tuple[DataFrame, DataFrame]:
+    """The graph with gap vertices where a scaffold jumps between two open ends of known vertices.
+
+    A jump that several scaffolds tell, on either strand, is made once.
+    """
+    links = symmetric(edges)
+    jumps = scaffold_jumps(scaffolds)
+    a, b = F.struct("v1", "e1"), F.struct("v2", "e2")
+    one = jumps.select(F.least(a, b.cast("struct<v1:string,e1:boolean>")).alias("a"), F.greatest(a, b.cast("struct<v1:string,e1:boolean>")).alias("b")).distinct()
+    known = vertices.select("v")
+    new = one.select(F.col("a.v1").alias("v1"), F.col("a.e1").alias("e1"), F.col("b.v1").alias("v2"), F.col("b.e1").alias("e2"))
+    new = new.join(known.withColumnRenamed("v", "v1"), "v1", "left_semi").join(known.withColumnRenamed("v", "v2"), "v2", "left_semi").where("v1 <> v2")
+    new = new.join(links.select("v1", "e1").distinct(), ["v1", "e1"], "left_anti").join(links.select(F.col("v1").alias("v2"), F.col("e1").alias("e2")).distinct(), ["v2", "e2"], "left_anti")
+    new = new.select("v1", "e1", "v2", "e2", F.lit(gap).alias("gap"), F.concat_ws("_", F.lit("gap"), "v1", "v2").alias("name"))
+    more, joins = gap_vertices(new, fill)
+    return vertices.select("v", "len", "cov", "seq").union(more.select("v", "len", "cov", "seq")), links.union(joins.select(*links.columns))
+
+
 def one_strand(names: DataFrame, name: str) -> DataFrame:
     """Rows without the reverse strand's twin, marked by a closing apostrophe."""
     return names.where(~F.col(name).endswith("'"))

@@ -83,6 +83,27 @@ def regions(features: DataFrame, sequences: DataFrame, kinds: tuple[str, ...] =
     return out.select("record", "name", "nth", F.length("seq").alias("len"), missing_bases(F.col("seq")).alias("n_missing"), "seq")
 
 
+def compare(queries: DataFrame, references: DataFrame, ends: int = 10, least_length: float = 0.9, least_similarity: float = 0.9) -> DataFrame:
+    """(name, status, length_ratio, similarity, same_start, same_end, problems) of annotated regions against references.
+
+    Both tables: (name, seq). status is matched, only in query or only in reference; the
+    best reference of a name counts. Similarity is 1 - edits / the greater length; ends
+    agree if the first or last bases do. passes tells whether all limits are kept.
+    """
+    from ..functions.strings import codon_problems
+
+    q, r = queries.select("name", F.upper("seq").alias("a")), references.select("name", F.upper("seq").alias("b"))
+    t = q.join(r, "name", "full_outer")
+    longest = F.greatest(F.length("a"), F.length("b"), F.lit(1))
+    ratio = F.least(F.length("a"), F.length("b")) / longest
+    alike = 1 - F.levenshtein("a", "b") / longest
+    score = F.struct(alike.alias("similarity"), ratio.alias("length_ratio"), (F.left("a", F.lit(ends)) == F.left("b", F.lit(ends))).alias("same_start"), (F.right("a", F.lit(ends)) == F.right("b", F.lit(ends))).alias("same_end"))
+    status = F.when(F.col("a").isNull(), "only in reference").when(F.col("b").isNull(), "only in query").otherwise("matched")
+    best = t.withColumn("status", status).groupBy("name", "status", "a").agg(F.max(score).alias("m"))
+    out = best.select("name", "status", "m.length_ratio", "m.similarity", "m.same_start", "m.same_end", codon_problems(F.col("a")).alias("problems"))
+    return out.withColumn("passes", F.coalesce((F.col("length_ratio") >= least_length) & (F.col("similarity") >= least_similarity) & F.col("same_start") & F.col("same_end"), F.lit(False)))
+
+
 def region_statistics(found: DataFrame, names: list[str]) -> DataFrame:
     """Lengths of regions, records by names, - where there is none."""
     t = found.groupBy("record").pivot("name", names).agg(F.max("len"))

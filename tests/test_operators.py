@@ -269,6 +269,17 @@ def test_purify_and_bridge(spark):
     assert rows(gv, "v", "len", "seq") == [("gap_a_b", 7, "N" * 7)] and ge.count() == 4
 
 
+def test_scaffolds_bridge_open_ends(spark):
+    v = spark.createDataFrame([("a", 4, 1.0, "AAAA"), ("b", 4, 1.0, "CCCC"), ("c", 4, 1.0, "GGGG")], V)
+    e = spark.createDataFrame([("b", True, "c", False, 0)], E)
+    way = "node string, sub_path int, path array<struct<v:string,fwd:boolean>>"
+    s = spark.createDataFrame([("n", 0, [("a", True)]), ("n", 1, [("b", True), ("c", True)]), ("n'", 0, [("c", False), ("b", False)]), ("n'", 1, [("a", False)]), ("m", 0, [("b", True)]), ("m", 1, [("zz", True)])], way)
+    assert graph.scaffold_jumps(s).count() == 3
+    nv, ne = graph.bridge_with_scaffolds(v, e, s, gap=3)
+    assert rows(nv, "v", "seq") == [("a", "AAAA"), ("b", "CCCC"), ("c", "GGGG"), ("gap_a_b", "NNN")]
+    assert rows(graph.clusters(nv, ne), "component") == [("a",)] * 4 and ne.count() == 6
+
+
 def test_circles_of_a_four_part_graph(spark):
     e = [("L", True, "R", False), ("R", True, "S", False), ("S", True, "R", True), ("R", False, "L", False)]
     assert len(paths.circular_paths({"L": 1, "R": 2, "S": 1}, e)) == 2

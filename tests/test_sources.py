@@ -178,6 +178,15 @@ Total cost 2.5 s
 """
 
 
+def test_regions_against_references(spark):
+    q = spark.createDataFrame([("a", "ATGAAATAA"), ("b", "ATGTAAAAATAA"), ("c", "ATGCCCTAA")], "name string, seq string")
+    r = spark.createDataFrame([("a", "atgaaataa"), ("a", "ATG"), ("b", "GTGTAAAAATAA"), ("d", "ATG")], "name string, seq string")
+    got = {x["name"]: x for x in annotations.compare(q, r, ends=3).collect()}
+    assert got["a"]["passes"] and got["a"]["similarity"] == 1.0 and got["a"]["problems"] == []
+    assert not got["b"]["passes"] and got["b"]["same_end"] and not got["b"]["same_start"] and got["b"]["problems"] == ["internal"]
+    assert got["c"]["status"] == "only in query" and got["d"]["status"] == "only in reference"
+
+
 def test_logs_and_summary(spark, tmp_path):
     (tmp_path / "s1").mkdir()
     (tmp_path / "s1/log.txt").write_text(LOG)
