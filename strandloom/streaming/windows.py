@@ -6,8 +6,11 @@ is bounded by time.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
 
@@ -58,6 +61,28 @@ def probe_stream(rows: DataFrame, vocabulary: DataFrame, words: str, id_cols: li
     return probed.join(vocabulary.select("word").distinct(), "word", "left_semi").select(*id_cols)
 
 
+def quiet_gaps(events: DataFrame, seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """(key, gap_lo, gap_hi) of a stream: pauses of more than so many seconds between a key's neighbouring events.
+
+    State is one time a key. Events of a micro-batch are put in order; one that comes after
+    a later one of its key has been seen, in another micro-batch, is passed over.
+    """
+    kind = dict(events.dtypes)[key]
+
+    def update(k, parts, state: GroupState):
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        times = np.sort(np.concatenate([p[ts].to_numpy("datetime64[us]") for p in parts]))
+        times = times if last is None else times[times >= last.to_datetime64()]
+        if len(times):
+            seen = times if last is None else np.append(last.to_datetime64().astype("datetime64[us]"), times)
+            wide = np.flatnonzero(np.diff(seen) > np.timedelta64(seconds, "s"))
+            state.update((int(times[-1].astype("int64")),))
+            yield pd.DataFrame({key: [k[0]] * len(wide), "gap_lo": seen[wide], "gap_hi": seen[wide + 1]})
+
+    at = events.select(key, F.col(ts).cast("timestamp_ntz").alias(ts))
+    return at.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, gap_lo timestamp_ntz, gap_hi timestamp_ntz", "last long", "append", "NoTimeout")
+
+
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of text lines from files that appear in a folder."""
     return spark.readStream.text(folder)

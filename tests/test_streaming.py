@@ -33,3 +33,23 @@ def test_probes_of_a_stream(spark, sf, tmp_path):
     vocabulary = spark.createDataFrame([("purchase",)], "word string")
     live = _run(windows.probe_stream(stream, vocabulary, "ws", ["event_id"]), "t3", "append", tmp_path)
     assert live.count() == spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").count()
+
+
+def test_gaps_of_a_stream_equal_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    days = sorted(r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().collect())
+    events.where(F.to_date("ts") <= days[len(days) // 2]).coalesce(1).write.parquet(str(tmp_path / "gaps"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "gaps"))
+    q = windows.quiet_gaps(stream, 3600).writeStream.format("memory").queryName("t4").outputMode("append").option("checkpointLocation", str(tmp_path / "cp4"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    events.where(F.to_date("ts") > days[len(days) // 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "gaps"))
+    more = windows.quiet_gaps(stream, 3600).writeStream.format("parquet").option("path", str(tmp_path / "more")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp5")).trigger(availableNow=True).start()
+    more.awaitTermination()
+    times = {}
+    for r in events.orderBy("ts").collect():
+        times.setdefault(r["user_id"], []).append(r["ts"])
+    want = sorted((u, a, b) for u, t in times.items() for a, b in zip(t, t[1:]) if (b - a).total_seconds() > 3600)
+    got = spark.read.parquet(str(tmp_path / "more"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    half = [w for w in want if w[2].date() <= days[len(days) // 2]]
+    assert sorted(tuple(r) for r in spark.table("t4").collect()) == half
