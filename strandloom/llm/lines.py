@@ -10,8 +10,11 @@ an exact distinct count.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from ..operators.components import ensure_checkpoint_dir
 from ..operators.sizes import small_side
@@ -46,6 +49,18 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _outside(keys: pa.Array, bad: pa.Array) -> pa.Array:
+    """For each list of keys which of them aren't in the list of bad ones; null where there are no lists."""
+    keys, bad = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (keys, bad))
+    told, size, have = [], [], keys.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(keys)):
+        k = np.asarray(keys[i].values) if have[i] else np.zeros(0, np.int64)
+        told.append(~np.isin(k, np.asarray(bad[i].values)) if have[i] else np.zeros(0, bool))
+        size.append(len(k))
+    offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(told) if told else np.zeros(0, bool)), mask=pa.array(~have) if len(have) else None)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(id, site, h) of all lines that aren't blank, of rows that have an id."""
     lines = docs.where(F.col(id_col).isNotNull()).select(
@@ -84,8 +99,11 @@ def line_dedup(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: st
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__key"))
     joined = row.join(marks, F.col("__key") == F.col("__id"), "left")
     parts = F.split(F.col(f"__row.`{text_col}`"), "\n")
-    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__hs"), line_key(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__hs").isNotNull(), kept))
+    # a set lookup for each line: array_contains would compare every line with every bad one
+    good = F.arrow_udf(_outside, ArrayType(BooleanType()))(F.when(F.col("__hs").isNotNull(), F.transform(parts, line_key)), F.col("__hs"))
+    told = joined.withColumn("__good", good)
+    kept = F.transform(F.filter(F.arrays_zip(parts.alias("line"), F.col("__good").alias("good")), lambda p: (F.trim(p["line"]) == "") | p["good"]), lambda p: p["line"])
+    joined = told.withColumn("__kept", F.when(F.col("__hs").isNotNull(), kept))
     text = F.when(F.col("__hs").isNull(), F.col(f"__row.`{text_col}`")).otherwise(F.array_join("__kept", "\n"))
     removed = F.when(F.col("__hs").isNull(), 0).otherwise(F.size(parts) - F.size("__kept")).cast("int")
     same = [F.col(f"__row.`{c}`").alias(c) if c != text_col else text.alias(c) for c in docs.columns if c != "n_removed"]
