@@ -41,9 +41,11 @@ class Model:
         rank = {p: r for r, p in enumerate(sorted(normal, key=lambda p: -sp.get_score(normal[p])))}
         self.size = n
         self.chars = np.array([[ord(p), i] for p, i in normal.items() if len(p) == 1], dtype=np.int64).reshape(-1, 2)
-        pairs = [(normal[p[:k]] * n + normal[p[k:]], rank[p], normal[p]) for p in normal for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal]
+        pairs = [(normal[p[:k]] * n + normal[p[k:]], rank[p]) for p in normal for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal]
         pairs.sort()
-        self.keys, self.ranks, self.merged = (np.array(c, dtype=t) for c, t in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
+        self.keys, self.ranks = (np.array(c, dtype=t) for c, t in zip(zip(*pairs), (np.int64, np.int32)))
+        self.of_rank = np.zeros(len(rank), dtype=np.int32)
+        self.of_rank[list(rank.values())] = [normal[p] for p in rank]
         self.bytes = np.zeros(256, dtype=np.int32)
         surface = []
         for i, p in enumerate(pieces):
@@ -72,47 +74,50 @@ def _char_table(path: str) -> np.ndarray:
     return table
 
 
+def _pair_ranks(model: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs' merges, _NONE where there is none."""
+    key = left.astype(np.int64) * model.size + right
+    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+    return np.where(model.keys[at] == key, model.ranks[at], _NONE)
+
+
 def merge(model: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Encode segments of piece ids: ids and the number of each segment's ids, in order."""
+    """Encode segments of piece ids: ids and the number of each segment's ids, in order.
+
+    Ranks are looked up once and then again only where a merge has changed a pair.
+    """
     count = len(size)
     if not count:
         return symbols, size
     segment = np.repeat(np.arange(count), size)
+    rank = np.full(len(symbols), _NONE, dtype=np.int32)
+    rank[:-1] = np.where(segment[:-1] == segment[1:], _pair_ranks(model, symbols[:-1], symbols[1:]), _NONE)
     done_ids, done_segments = [], []
     while len(symbols):
-        key = symbols[:-1].astype(np.int64) * model.size + symbols[1:]
-        inside = segment[:-1] == segment[1:]
-        at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-        known = inside & (model.keys[at] == key)
-        rank = np.full(len(symbols), _NONE, dtype=np.int32)
-        rank[:-1][known] = model.ranks[at[known]]
-        start = np.flatnonzero(np.append(True, ~inside))
+        start = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
         least = np.minimum.reduceat(rank, start)
-        width = np.diff(np.append(start, len(symbols)))
-        of = np.repeat(least, width)
+        of = np.repeat(least, np.diff(np.append(start, len(symbols))))
         over = of == _NONE
         if over.any():
             done_ids.append(symbols[over])
             done_segments.append(segment[over])
-            keep = ~over
-            index = np.cumsum(keep) - 1
-            hit = np.flatnonzero((rank == of) & keep)
-            place, hit = at[hit], index[hit]
-            symbols, segment = symbols[keep], segment[keep]
-        else:
-            hit = np.flatnonzero(rank == of)
-            place = at[hit]
+            symbols, segment, rank, of = symbols[~over], segment[~over], rank[~over], of[~over]
+        hit = np.flatnonzero(rank == of)
         if not len(hit):
             continue
         # of pairs that overlap, every second from the left
         new = np.append(True, hit[1:] != hit[:-1] + 1)
         first = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
-        use = (np.arange(len(hit)) - first) % 2 == 0
-        hit, place = hit[use], place[use]
-        symbols[hit] = model.merged[place]
+        hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
+        symbols[hit] = model.of_rank[rank[hit]]
         stay = np.ones(len(symbols), dtype=bool)
         stay[hit + 1] = False
-        symbols, segment = symbols[stay], segment[stay]
+        at = hit - np.arange(len(hit))  # places after the compaction
+        symbols, segment, rank = symbols[stay], segment[stay], rank[stay]
+        changed = np.concatenate([at, at[at > 0] - 1])
+        ahead = np.minimum(changed + 1, len(symbols) - 1)
+        pairs = (changed + 1 < len(symbols)) & (segment[changed] == segment[ahead])
+        rank[changed] = np.where(pairs, _pair_ranks(model, symbols[changed], symbols[ahead]), _NONE)
     ids, segment = np.concatenate(done_ids), np.concatenate(done_segments)
     order = np.argsort(segment, kind="stable")
     return ids[order], np.bincount(segment, minlength=count)
