@@ -10,12 +10,10 @@ an exact distinct count.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
+from ..functions.strings import let
 from ..operators.components import ensure_checkpoint_dir
 from ..operators.sizes import small_side
 
@@ -49,24 +47,23 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _outside(keys: pa.Array, bad: pa.Array) -> pa.Array:
-    """For each list of keys which of them aren't in the list of bad ones; null where there are no lists."""
-    keys, bad = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (keys, bad))
-    told, size, have = [], [], keys.is_valid().to_numpy(zero_copy_only=False)
-    for i in range(len(keys)):
-        k = np.asarray(keys[i].values) if have[i] else np.zeros(0, np.int64)
-        told.append(~np.isin(k, np.asarray(bad[i].values)) if have[i] else np.zeros(0, bool))
-        size.append(len(k))
-    offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(told) if told else np.zeros(0, bool)), mask=pa.array(~have) if len(have) else None)
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, site, h) of all lines that aren't blank, of rows that have an id."""
+    """(id, site, text_key, at, h) of all lines that aren't blank, of rows that have an id; at is a line's place in its text."""
     lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"), F.explode(F.split(text_col, "\n")).alias("line")
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("at", "line")
     )
-    return lines.where(F.trim("line") != "").select("id", "site", line_key(F.col("line")).alias("h"))
+    return lines.where(F.trim("line") != "").select("id", "site", "text_key", "at", line_key(F.col("line")).alias("h"))
+
+
+def _between(parts: Column, gone: Column) -> Column:
+    """The elements of parts that aren't at one of the rising places in gone, slice by slice, so that cost is linear."""
+
+    def piece(p: Column, j: Column) -> Column:
+        begin = F.when(j == 0, 0).otherwise(F.get(gone, j - 1) + 1)
+        end = F.when(j == F.size(gone), F.size(p)).otherwise(F.get(gone, j))
+        return F.slice(p, begin + 1, end - begin)
+
+    return let(parts, lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: piece(p, j))))
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -95,16 +92,11 @@ def line_dedup(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: st
     ensure_checkpoint_dir(docs.sparkSession)
     bad = boilerplate(docs, sites, far, id_col, text_col, site_col).checkpoint()
     lines = _lines(docs, id_col, text_col, site_col)
-    marks = lines.join(small_side(bad), "h").where("id <> first_id").groupBy("id").agg(F.collect_set("h").alias("hs")).select(F.col("id").alias("__id"), F.col("hs").alias("__hs"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__key"))
-    joined = row.join(marks, F.col("__key") == F.col("__id"), "left")
-    parts = F.split(F.col(f"__row.`{text_col}`"), "\n")
-    # a set lookup for each line: array_contains would compare every line with every bad one
-    good = F.arrow_udf(_outside, ArrayType(BooleanType()))(F.when(F.col("__hs").isNotNull(), F.transform(parts, line_key)), F.col("__hs"))
-    told = joined.withColumn("__good", good)
-    kept = F.transform(F.filter(F.arrays_zip(parts.alias("line"), F.col("__good").alias("good")), lambda p: (F.trim(p["line"]) == "") | p["good"]), lambda p: p["line"])
-    joined = told.withColumn("__kept", F.when(F.col("__hs").isNotNull(), kept))
-    text = F.when(F.col("__hs").isNull(), F.col(f"__row.`{text_col}`")).otherwise(F.array_join("__kept", "\n"))
-    removed = F.when(F.col("__hs").isNull(), 0).otherwise(F.size(parts) - F.size("__kept")).cast("int")
+    marks = lines.join(small_side(bad), "h").where("id <> first_id").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("__gone")).select(F.col("id").alias("__id"), F.col("text_key").alias("__of"), "__gone")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__key"), F.xxhash64(F.col(text_col)).alias("__text_key"))
+    joined = row.join(marks, (F.col("__key") == F.col("__id")) & (F.col("__text_key") == F.col("__of")), "left")
+    kept = _between(F.split(F.col(f"__row.`{text_col}`"), "\n"), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col(f"__row.`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("int")
     same = [F.col(f"__row.`{c}`").alias(c) if c != text_col else text.alias(c) for c in docs.columns if c != "n_removed"]
     return joined.select(*same, removed.alias("n_removed"))
