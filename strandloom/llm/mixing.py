@@ -102,10 +102,10 @@ def mix(
         .where((F.col("epoch") < F.col("whole")) | ((F.col("part") > 0) & (F.col("room") > 0)))
         .select("source", "block", "epoch", "block_rank", "room", (F.col("room") >= F.col("block_tokens")).alias("full"))
     )
-    all_of = base.join(uses.where("full"), ["source", "block"]).select("row", "source", "epoch", "block_rank")
+    # one join; the window needs no further exchange, as its keys begin with the join's
     inside = Window.partitionBy("source", "block", "epoch").orderBy("key", "row")
-    some_of = base.join(uses.where("NOT full"), ["source", "block"]).withColumn("so_far", F.sum("tokens").over(inside)).where("so_far <= room").select("row", "source", "epoch", "block_rank")
-    out = all_of.union(some_of)
+    used = base.join(uses, ["source", "block"]).withColumn("so_far", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = used.where(F.col("full") | (F.col("so_far") <= F.col("room"))).select("row", "source", "epoch", "block_rank")
     if as_rows:
         return out.select("row.*")
     return out.select("row.doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "block_rank")
