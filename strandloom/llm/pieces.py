@@ -128,6 +128,9 @@ class Encoder:
 
     def __init__(self, path: str = MODEL):
         self.model, self.table = load(path), _char_table(path)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.begin = self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -147,8 +150,6 @@ class Encoder:
         flat_ids[flat.spans(begin[plain], counts)] = ids
         if fallback:
             flat_ids[flat.spans(begin[strange], lengths[strange])] = np.concatenate(fallback)
-        if len(self.known) + len(unique) > REMEMBERED:
-            self.known, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         known = np.concatenate([self.known, unique])
         begin = np.concatenate([self.begin, begin + len(self.ids)])
         lengths = np.concatenate([self.size, lengths])
@@ -182,11 +183,11 @@ class Encoder:
         hashes = flat.ranges_hash(cp.astype(np.uint64), start, start + size)
         unique, where, of = np.unique(hashes, return_index=True, return_inverse=True)
         lost = self._missing(unique)
+        if len(self.known) + np.count_nonzero(lost) > REMEMBERED:  # only between chunks: a chunk needs all of its own, however many
+            self._forget()
+            lost[:] = True
         if lost.any():
             self._segments(unique[lost], cp, start[where[lost]], size[where[lost]])
-            again = self._missing(unique)
-            if again.any():  # what was remembered has been dropped
-                self._segments(unique[again], cp, start[where[again]], size[where[again]])
         at = np.searchsorted(self.known, unique)[of]
         ids = self.ids[flat.spans(self.begin[at], self.size[at])]
         owner = np.searchsorted(row_at, start, side="right") - 1

@@ -204,6 +204,16 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert few[0].tolist() == many[0].tolist() and few[1].tolist() == many[1].tolist()
 
 
+def test_a_chunk_keeps_its_own_segments(monkeypatch):
+    """A later chunk of more segments than are remembered, some of them known from before."""
+    texts = ["a b c d e", " ".join(f"n{k} a x{k * k} c" for k in range(40)) + " 漢 é", "b n7 zz a"]
+    monkeypatch.setattr(pieces, "REMEMBERED", 12)
+    one = pieces.Encoder()
+    for t in texts:
+        chunk = next(flat.chunks(pa.array([t])))
+        assert [x.tolist() for x in one.encode(chunk)] == [x.tolist() for x in pieces.Encoder().encode(chunk)]
+
+
 # ---- personal data --------------------------------------------------------
 
 
