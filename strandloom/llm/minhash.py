@@ -5,7 +5,8 @@ aside.  Its MinHash samples fill bands; documents that share a band's hash are
 candidates.  The samples are also folded into a parity bitmap (an odd sketch): a
 sample flips one bit, so the samples of two documents that agree cancel out in
 the XOR of the bitmaps, and its population count estimates how many differ.
-Candidates are verified by that estimate inside their band, on bitmaps alone.
+Candidates whose estimate lies well above or below the threshold are decided by it
+inside their band, on bitmaps alone; for those in between the shingles are compared.
 """
 
 from __future__ import annotations
@@ -14,13 +15,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, ensure_checkpoint_dir
 from . import blocks, flat, repeats
 
-#: Bands, rows of a band, bits of a sketch, words of a shingle, least estimated Jaccard similarity.
-BANDS, ROWS, BITS, SHINGLE, THRESHOLD = 32, 5, 512, 2, 0.55
+#: Bits of a sketch, words of a shingle, least Jaccard similarity, rows of a band, share of the pairs at the threshold that the bands are planned to find.
+BITS, SHINGLE, THRESHOLD, ROWS, RECALL = 512, 2, 0.55, 4, 0.99
+#: How far below and above the threshold an estimate leaves a pair in doubt: about three standard deviations (0.052 at 0.55).
+BELOW, ABOVE = 0.15, 0.17
+#: Bits of the filter that says which documents are compared by their shingles; documents that it lets through by chance cost shuffle only.
+FILTER_BITS = 1 << 24
+
+
+def plan(threshold: float, rows: int, recall: float) -> int:
+    """Bands that find a pair at the threshold with the wanted recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+
+
+BANDS = plan(THRESHOLD, ROWS, RECALL)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -124,6 +139,76 @@ def links(ids: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray,
     return ids[other], least[label][other]
 
 
+def doubtful(ids: np.ndarray, sketches: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket with more than sure and at most most differing bits, but for those in one component of links(.., sure).
+
+    Of rows with equal sketches the one of the least id stands for all.
+    """
+    order = np.argsort(ids, kind="stable")
+    unique, first = np.unique(sketches[order], axis=0, return_index=True)
+    ids = ids[order][first]
+    u, v = links(ids, unique, sure)
+    star = dict(zip(u.tolist(), v.tolist()))
+    root = np.array([star.get(i, i) for i in ids.tolist()])
+    a, b = [], []
+    for k in range(len(ids) - 1):
+        d = np.bitwise_count(unique[k + 1 :] ^ unique[k]).sum(axis=1, dtype=np.int32)
+        near = k + 1 + np.flatnonzero((d <= most) & (root[k + 1 :] != root[k]))
+        a.append(np.full(len(near), ids[k]))
+        b.append(ids[near])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none])
+
+
+def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Exact Jaccard similarity of the shingles of each two texts."""
+    n, sides = len(left), []
+    for column in (left, right):
+        hashes, row = shingles(next(flat.chunks(column, 1 << 60)))
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+        sides.append((hashes[new], row[new]))
+    hashes, row = (np.concatenate(c) for c in zip(*sides))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    both = np.bincount(row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])], minlength=n)
+    return both / np.maximum(np.bincount(row, minlength=n) - both, 1)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose shingles are similar enough; docs: (id, text).
+
+    Only documents that a pair may name, by a bitmap over hashes of ids, are shuffled.
+    """
+    bit = F.xxhash64("id").bitwiseAND(FILTER_BITS - 1)
+    named = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).select(bit.alias("bit"))
+    filled = named.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("mask")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    bitmap[filled["at"].to_numpy()] = filled["mask"].to_numpy()
+
+    def named_only(batches):
+        for batch in batches:
+            b = batch.column(2).to_numpy(zero_copy_only=False)
+            keep = pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1)
+            yield batch.select([0, 1]).filter(keep)
+
+    def exact(batches):
+        for batch in batches:
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 1_000_000, side="right")))
+                part = batch.slice(lo, hi - lo)
+                yield part.select([0, 1]).filter(pa.array(similarity(part.column(2), part.column(3)) >= threshold))
+                lo = hi
+
+    some = docs.withColumn("bit", bit).mapInArrow(named_only, "id LONG, text STRING")
+    found = pairs.join(some.withColumnsRenamed({"id": "u", "text": "x"}), "u").join(some.withColumnsRenamed({"id": "v", "text": "y"}), "v")
+    return found.select("u", "v", "x", "y").mapInArrow(exact, "u LONG, v LONG")
+
+
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id) of every document that has a near duplicate; group_id is the group's least doc_id.
 
@@ -132,7 +217,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     group; rows without an id are left out; a row that is there twice is no duplicate
     of itself; other columns are ignored.
     """
-    n, most = blocks.partitions(docs.sparkSession), most_bits(threshold)
+    n = blocks.partitions(docs.sparkSession)
+    sure, most = most_bits(min(threshold + ABOVE, 1.0)), most_bits(threshold - BELOW)
     kinds = ["<u8", "<i8"] + ["<u8"] * (BITS // 64)
 
     def sign(batches):
@@ -157,11 +243,19 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
         sketch = np.stack([s[order] for s in sketch], axis=1)
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(keys)))
-        found = [links(ids[s : s + m], sketch[s : s + m], most) for s, m in zip(start[size > 1], size[size > 1])]
-        if found:
-            pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found)]), axis=1)
+        two = start[size == 2]
+        d = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int32)
+        two, d = two[ids[two] != ids[two + 1]], d[ids[two] != ids[two + 1]]
+        for certain, within, bucket in ((True, d <= sure, lambda *x: links(*x, sure)), (False, (d > sure) & (d <= most), lambda *x: doubtful(*x, sure, most))):
+            found = [(ids[two[within] + 1], ids[two[within]])] + [bucket(ids[s : s + m], sketch[s : s + m]) for s, m in zip(start[size > 2], size[size > 2])]
+            u, v = (np.concatenate(c) for c in zip(*found))
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
             for lo in range(0, pairs.shape[1], 50_000):
-                yield pa.record_batch([pa.array(pairs[0, lo : lo + 50_000]), pa.array(pairs[1, lo : lo + 50_000])], names=["u", "v"])
+                part = pairs[:, lo : lo + 50_000]
+                yield pa.record_batch([pa.array(part[0]), pa.array(part[1]), pa.array(np.full(part.shape[1], certain))], names=["u", "v", "certain"])
 
-    edges = blocks.send(repeats.documents(docs, id_col, text_col), sign, n).mapInArrow(verify, "u LONG, v LONG")
+    ensure_checkpoint_dir(docs.sparkSession)
+    docs = repeats.documents(docs, id_col, text_col)
+    pairs = blocks.send(docs, sign, n).mapInArrow(verify, "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
+    edges = pairs.where("certain").select("u", "v").union(_verified(docs, pairs.where("NOT certain AND u <> v").select("u", "v"), threshold))
     return connected_components(edges).withColumnsRenamed({"node": "doc_id", "component": "group_id"})

@@ -160,6 +160,40 @@ def test_groups_equal_brute_force(spark):
     assert got == want and got[904] == 903 and 902 not in got
 
 
+def test_recall_near_the_threshold(spark):
+    """Groups of two documents at Jaccard similarities from 0.45 to 0.7: nearly all from 0.55 on, none below."""
+    rng = random.Random(7)
+    docs = []
+    for k in range(700):
+        base = text(rng, rng.choice((40, 120, 300)), 10**6).split(" ")
+        share = rng.uniform(0.08, 0.18)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(w if rng.random() > share else f"x{rng.randrange(10**9)}" for w in base))]
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicate_groups(table(spark, docs)).collect()}
+    sets = [set(zip(w, w[1:])) for w in (t.split(" ") for _, t in docs)]
+    at = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(700)}
+    for low, high in ((0.55, 0.6), (0.6, 0.7)):
+        near = [k for k, j in at.items() if low <= j < high]
+        assert len(near) > 50 and sum(2 * k + 1 in got for k in near) >= 0.95 * len(near)
+    assert set(got) == {i for k, j in at.items() if j >= 0.55 and 2 * k + 1 in got for i in (2 * k, 2 * k + 1)}
+
+
+def test_pairs_in_doubt_are_those_that_links_leaves():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 8, dtype=np.uint64)
+    sketches = np.repeat(base[None], 40, axis=0)
+    for row in sketches:
+        for _ in range(rng.integers(0, 9)):
+            row[rng.integers(0, 8)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    ids = rng.permutation(40)
+    distance = np.bitwise_count(sketches[:, None] ^ sketches[None]).sum(axis=2)
+    u, v = minhash.links(ids, sketches, 3)
+    star = dict(zip(u.tolist(), v.tolist()))
+    stands = {int(i): min(ids[k] for k in range(40) if distance[n, k] == 0) for n, i in enumerate(ids)}
+    place = {int(i): n for n, i in enumerate(ids)}
+    want = {frozenset((a, b)) for a in place for b in place if stands[a] == a and stands[b] == b and 3 < distance[place[a], place[b]] <= 9 and star.get(a, a) != star.get(b, b)}
+    assert want and {frozenset(p) for p in zip(*(x.tolist() for x in minhash.doubtful(ids, sketches, 3, 9)))} == want
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for j in (0.6, 0.8, 0.95):
