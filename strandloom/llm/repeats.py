@@ -56,31 +56,32 @@ def winnow(hashes: np.ndarray, row_token: np.ndarray, token_row: np.ndarray, len
 
 
 def anchors(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Packed (hash, id, position) of the winnowed k-grams, by hash."""
+    """Packed (hash, id, text's hash, position) of the winnowed k-grams, by hash; docs as of documents()."""
 
     def pick(batches):
         box = blocks.Outbox(n)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for chunk in flat.chunks(batch.column(1)):
                 chunk.tokenize()
                 rows = chunk.token_rows()
                 at, grams = winnow(chunk.hashes(), chunk.row_token, rows, length, gram_of(length))
                 row = rows[at]
-                yield from box.add(blocks.by_hash(grams, n), grams, ids[chunk.rows[row]].astype(np.int64), (at - chunk.row_token[row]).astype(np.uint32))
+                owner = chunk.rows[row]
+                yield from box.add(blocks.by_hash(grams, n), grams, ids[owner].astype(np.int64), of[owner].astype(np.int32), (at - chunk.row_token[row]).astype(np.uint32))
         yield from box.flush()
 
     return blocks.send(docs, pick, n)
 
 
-def occurring_twice(keys: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct (key, id, at) whose key has at least two places, sorted, and each one's group start."""
-    order = np.lexsort((at, ids, keys))
-    keys, ids, at = keys[order], ids[order], at[order]
+def occurring_twice(keys: np.ndarray, ids: np.ndarray, of: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct (key, id, text's hash, at, ..) whose key has at least two places, sorted, and each one's group start."""
+    order = np.lexsort((at, of, ids, keys))
+    columns = [c[order] for c in (keys, ids, of, at, *more)]
     if len(keys):
-        fresh = np.ones(len(keys), dtype=bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])
-        keys, ids, at = keys[fresh], ids[fresh], at[fresh]
+        fresh = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:4]]))
+        columns = [c[fresh] for c in columns]
+    keys = columns[0]
     first = np.ones(len(keys), dtype=bool)
     first[1:] = keys[1:] != keys[:-1]
     start = np.flatnonzero(first)
@@ -89,32 +90,31 @@ def occurring_twice(keys: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[
     begin = np.repeat(start, size)
     # group starts as indices into what remains
     index = np.cumsum(many) - 1
-    return keys[many], ids[many], at[many], index[begin[many]] if len(keys) else begin
+    return [c[many] for c in columns], index[begin[many]] if len(keys) else begin
 
 
 def candidates(docs: DataFrame, length: int) -> DataFrame:
-    """(id, text, places): the documents that share a winnowed k-gram, with its token positions.
+    """(id, text, places, of): the documents that share a winnowed k-gram, with its token positions.
 
-    docs: columns (id LONG, text STRING), ids not null.  A repeated (id, text)
-    row counts once; two texts under one id are both looked at.
+    docs: as of documents().  A repeated (id, text) row counts once; two texts under
+    one id are two documents.
     """
     n = blocks.partitions(docs.sparkSession)
 
     def repeated(batches):
-        _, ids, at, _ = occurring_twice(*blocks.gather(batches, ["<u8", "<i8", "<u4"]))
-        order = np.lexsort((at, ids))
-        ids, at = ids[order], at[order].astype(np.int32)
-        unique, start = np.unique(ids, return_index=True)
+        (_, ids, of, at), _ = occurring_twice(*blocks.gather(batches, ["<u8", "<i8", "<i4", "<u4"]))
+        order = np.lexsort((at, of, ids))
+        ids, of, at = ids[order], of[order], at[order].astype(np.int32)
+        start = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1]))) if len(ids) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(ids)))
-        for lo in range(0, len(unique), 10_000):
-            part = slice(lo, lo + 10_000)
-            b = start[part][0]
-            e = start[part][-1] + size[part][-1]
-            yield pa.record_batch([pa.array(unique[part], pa.int64()), flat.lists(at[b:e], size[part], pa.int32())], names=["id", "places"])
+        for lo in range(0, len(start), 10_000):
+            part = start[lo : lo + 10_000]
+            b, e = part[0], part[-1] + size[lo : lo + 10_000][-1]
+            yield pa.record_batch([pa.array(ids[part], pa.int64()), pa.array(of[part], pa.int32()), flat.lists(at[b:e], size[lo : lo + 10_000], pa.int32())], names=["id", "of", "places"])
 
-    places = anchors(docs, length, n).mapInArrow(repeated, "id LONG, places ARRAY<INT>")
-    places = places.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    return docs.join(places, "id")
+    places = anchors(docs, length, n).mapInArrow(repeated, "id LONG, of INT, places ARRAY<INT>")
+    places = places.groupBy("id", "of").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return docs.join(places, ["id", "of"]).select("id", "text", "places", "of")
 
 
 def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, length: int) -> np.ndarray:
@@ -131,5 +131,6 @@ def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, l
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of the rows that have an id; other columns play no part."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
+    """(id, text, of) of the rows that have an id, of being the text's hash; other columns play no part."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.hash(text).alias("of")).where(F.col("id").isNotNull())

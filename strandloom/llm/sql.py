@@ -5,15 +5,17 @@ SPACE = r"[ \t\n\v\f\r\x1c-\x1f]+"
 #: A document's words.
 WORDS = f"SELECT doc_id, string_split_regex(trim(regexp_replace(text, '{SPACE}', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"
 
+#: Greedy parse: every window with every earlier place of it, runs along a diagonal, the longest at each window, and the next start from each.
 SUBSTRING = f"""
-WITH t AS ({WORDS}),
+WITH RECURSIVE t AS ({WORDS}),
 s AS (SELECT doc_id, i AS s, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM t, unnest(range(len(w) - 49)) u(i)),
-f AS (SELECT *, first_value(doc_id) OVER o AS rd, first_value(s) OVER o AS rs FROM s WINDOW o AS (PARTITION BY h ORDER BY doc_id, s)),
-r AS (SELECT * FROM f WHERE doc_id <> rd OR s <> rs),
-b AS (SELECT *, CASE WHEN lag(s) OVER o = s - 1 AND lag(rd) OVER o = rd AND lag(rs) OVER o = rs - 1 THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM b)
-SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(count(*) + 49 AS INTEGER) AS n_words, min(rd) AS ref_doc_id, CAST(min(rs) AS INTEGER) AS ref_start_word
-FROM g GROUP BY doc_id, k
+p AS (SELECT a.doc_id, a.s, b.doc_id AS rd, b.s AS rs FROM s a JOIN s b ON a.h = b.h AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.s < a.s))),
+g AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, rd, rs - s ORDER BY s) AS run FROM p),
+e AS (SELECT *, max(s) OVER (PARTITION BY doc_id, rd, rs - s, run) - s + 50 AS n FROM g),
+best AS (SELECT doc_id, s, n, rd, rs FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY n DESC, rd, rs) = 1),
+nxt AS (SELECT a.*, b.s AS ahead FROM best a ASOF LEFT JOIN best b ON a.doc_id = b.doc_id AND a.s + a.n - 49 <= b.s),
+parse AS (SELECT * FROM nxt WHERE s = (SELECT min(f.s) FROM nxt f WHERE f.doc_id = nxt.doc_id) UNION ALL SELECT nxt.* FROM parse JOIN nxt ON nxt.doc_id = parse.doc_id AND nxt.s = parse.ahead)
+SELECT doc_id, CAST(s AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, rd AS ref_doc_id, CAST(rs AS INTEGER) AS ref_start_word FROM parse
 """
 
 SUFFIX = f"""

@@ -57,17 +57,78 @@ def test_suffix_runs_equal_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want and {r[0] for r in got} >= {20, 21, 22, 34, 35, 36}
 
 
+def longest_parse(docs, length):
+    """Greedy parse by comparing every place with every earlier one."""
+    words = {i: re.split(r"[ \t\n\v\f\r\x1c-\x1f]+", (t or "").strip(" \t\n\v\f\r\x1c\x1d\x1e\x1f")) for i, t in docs}
+    earlier = {place: group[:k] for group in repeated_windows(docs, length) for k, place in enumerate(group) if k}
+    out = set()
+    for i, w in words.items():
+        least = 0
+        for s in range(len(w)):
+            if s < least or (i, s) not in earlier:
+                continue
+
+            def shared(r, q):
+                v = words[r]
+                return next((k for k in range(len(w) - s) if q + k >= len(v) or v[q + k] != w[s + k]), len(w) - s)
+
+            n, r, q = max(((shared(r, q), r, q) for r, q in earlier[i, s]), key=lambda x: (x[0], -x[1], -x[2]))
+            out.add((i, s, n, r, q))
+            least = s + n - length + 1
+    return out
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_factors_equal_brute_force(spark, seed):
     docs = corpus(seed)
-    source = {(i, s): group[0] for group in repeated_windows(docs, 50) for i, s in group[1:]}
-    want = set()
-    for (i, s), (r, q) in source.items():
-        if source.get((i, s - 1)) != (r, q - 1):
-            n = next(n for n in range(1, 10**6) if source.get((i, s + n)) != (r, q + n))
-            want.add((i, s, n + 49, r, q))
     got = [tuple(r) for r in rlz.substring_dedup(table(spark, docs)).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(set(got)) and set(got) == longest_parse(docs, 50)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_of_edited_copies(spark, seed):
+    """Copies with many edits, so that matches branch everywhere and end at all lengths, and periodic texts."""
+    rng = random.Random(seed)
+    base = text(rng, 500).split(" ")
+    docs = []
+    for i in range(40):
+        lo = rng.randrange(200)
+        docs.append((i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(50)}" for w in base[lo : lo + rng.randrange(60, 300)])))
+    docs += [(90, "b " * 3000), (91, "c " + "b " * 700 + "d"), (92, "p q r " * 200), (93, "q r p " * 150)]
+    docs += [(94, " ".join(base + base)), (95, docs[3][1])]
+    got = [tuple(r) for r in rlz.substring_dedup(table(spark, docs), 11).collect()]
+    want = longest_parse([d for d in docs if d[0] != 90], 11) if seed else None
+    assert len(got) == len(set(got))
+    if want is not None:
+        got = [tuple(r) for r in rlz.substring_dedup(table(spark, [d for d in docs if d[0] != 90]), 11).collect()]
+        assert set(got) == want
+    else:
+        assert [g for g in got if g[0] == 90] == [(90, 1, 2999, 90, 0)]
+
+
+def test_a_factor_is_the_longest_match(spark):
+    w = [f"w{i}" for i in range(110)]
+    docs = [(1, " ".join(w[:55])), (2, " ".join(w)), (3, " ".join(w))]
+    assert sorted(tuple(r) for r in rlz.substring_dedup(table(spark, docs)).collect()) == [(2, 0, 55, 1, 0), (3, 0, 110, 2, 0)]
+    passage, rest = " ".join(w[:60]), [f"v{i}" for i in range(1000)]
+    docs = [(1, passage), (5, " ".join([*rest[:400], passage, *rest[400:]]))]
+    got = sorted(tuple(r) for r in rlz.substring_dedup(table(spark, [*docs, (9, docs[1][1])])).collect())
+    assert got == [(5, 400, 60, 1, 0), (9, 0, 1060, 5, 0)]
+
+
+def test_two_texts_under_one_id(spark):
+    """They are two documents, also where a passage is at the same place in both."""
+    passage = text(random.Random(3), 60)
+    docs = [(1, passage + " a b c"), (1, passage + " d e f g")]
+    assert [tuple(r) for r in rlz.substring_dedup(table(spark, docs)).collect()] == [(1, 0, 60, 1, 0)]
+    assert {r["n_words"] for r in suffix.suffix_array_dedup(table(spark, docs)).collect()} == {60}
+
+
+def test_lengths_narrow():
+    low, high = np.array([1, 4, 4, 8, 100]), np.array([0, 8, 5, 16, 1000])
+    steps = np.stack([rlz.lengths(low, high, s) for s in range(rlz.STEPS + 1)])
+    assert (steps[0] == low).all() and (np.diff(steps, axis=0) >= 0).all() and (steps[:, 1:] < high[1:]).all()
+    assert steps[1:4, 0].tolist() == [2, 4, 8] and set(steps[:, 3]) == set(range(8, 16))
 
 
 def test_no_documents(spark):
