@@ -1,11 +1,9 @@
 """Operator 6: line dedup by the number of distinct sites that show a line.
 
-Each line hash gets a HyperLogLog sketch of its sites.  A register's rank r is kept
-as bit r of a byte, so that merging is a bitwise OR, a built-in aggregate; the
-register's value is the byte's highest bit.  Two bounds are certain: a line has no
-more sites than occurrences, and no fewer than bits set.  Lines whose estimate is
-far from the threshold, or that a bound decides, need nothing else; all others get
-an exact distinct count.
+Each line hash gets a HyperLogLog sketch of its sites, 256 registers that Spark's own
+aggregate keeps as packed longs and merges by the greater rank.  A line whose estimate
+lies well above or below the threshold is decided by it, and one with fewer occurrences
+than sites asked for by that; the others, near the threshold, get an exact distinct count.
 """
 
 from __future__ import annotations
@@ -17,42 +15,35 @@ from ..functions.strings import let
 from ..operators.components import ensure_checkpoint_dir
 from ..operators.sizes import small_side
 
-#: Distinct sites at which a line is boilerplate; an estimate this many times above or below it is far.
-SITES, FAR = 5, 8.0
+#: Distinct sites at which a line is boilerplate; standard errors, and sites at least, that an estimate has to be away from it to decide.
+SITES, FAR, LEAST = 5, 4.0, 2
+#: The sketch's relative error: 0.07 gives 256 registers, of standard error 0.065.
+ERROR = 0.07
 
 
-def _bit(site: Column, half: int) -> Column:
-    """A site's bit in the first or second eight registers, or 0."""
-    register = F.shiftrightunsigned(site, 60)
-    rest = F.shiftrightunsigned(site, 8).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128))
-    bit = F.call_function("shiftleft", rest.bitwiseAND(-rest), (register.bitwiseAND(F.lit(7)) * 8).cast("int"))
-    return F.when(F.shiftright(register, 3) == half, bit).otherwise(F.lit(0).cast("long"))
+def band(sites: int, far: float = FAR) -> tuple[float, float]:
+    """Estimates between these, inclusive, are near the threshold.
 
-
-def estimate(low: Column, high: Column) -> Column:
-    """HyperLogLog estimate from the 16 registers in two longs, with linear counting where registers are empty."""
-    byte = lambda half, r: F.call_function("shiftrightunsigned", half, (r * 8).cast("int")).bitwiseAND(F.lit(255))
-    rank = lambda x: F.when(x == 0, 0).otherwise(F.length(F.bin(x)))
-    eight = F.sequence(F.lit(0), F.lit(7))
-    ranks = F.concat(F.transform(eight, lambda r: rank(byte(low, r))), F.transform(eight, lambda r: rank(byte(high, r))))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("empty"))
-    step = lambda s, x: F.struct((s["total"] + F.pow(F.lit(2.0), -x)).alias("total"), (s["empty"] + F.when(x == 0, 1).otherwise(0)).alias("empty"))
-    raw = lambda s: F.lit(0.673 * 256) / s["total"]
-    small = lambda s: (raw(s) <= 40) & (s["empty"] > 0)
-    return F.aggregate(ranks, start, step, lambda s: F.when(small(s), F.lit(16.0) * F.log(F.lit(16.0) / s["empty"])).otherwise(raw(s)))
+    A line of ``sites`` sites that only fills registers for an estimate below the band is one
+    in a million (5 sites in 2 of 256 registers); one that has an estimate above it
+    without having the sites can't be, up to some 20 sites, as each register that isn't
+    empty stands for a site.
+    """
+    away = max(LEAST, far * ERROR * sites)
+    return sites - away, sites + away
 
 
 def line_key(line: Column) -> Column:
-    """64-bit hash of a line without the spaces around it."""
-    return F.xxhash64(F.trim(line))
+    """A line without the spaces around it, as a 64-bit and another 32-bit hash: too many bits for two lines of a corpus to share by chance."""
+    return F.struct(F.xxhash64(F.trim(line)).alias("h"), F.hash(F.trim(line)).alias("g"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, site, text_key, at, h) of all lines that aren't blank, of rows that have an id; at is a line's place in its text."""
+    """(id, site, text_key, at, h, g) of all lines that aren't blank, of rows that have an id; at is a line's place in its text."""
     lines = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n")).alias("at", "line")
     )
-    return lines.where(F.trim("line") != "").select("id", "site", "text_key", "at", line_key(F.col("line")).alias("h"))
+    return lines.where(F.trim("line") != "").select("id", "site", "text_key", "at", line_key(F.col("line")).alias("key")).select("id", "site", "text_key", "at", "key.h", "key.g")
 
 
 def _between(parts: Column, gone: Column) -> Column:
@@ -66,17 +57,21 @@ def _between(parts: Column, gone: Column) -> Column:
     return let(parts, lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: piece(p, j))))
 
 
+def judged(lines: DataFrame, sites: int = SITES, far: float = FAR) -> DataFrame:
+    """(h, g, first_id, verdict) of the lines that occur often enough: yes or no by the sketch's estimate, near where that can't tell."""
+    low, high = band(sites, far)
+    guess = F.approx_count_distinct("site", ERROR)
+    merged = lines.groupBy("h", "g").agg(guess.alias("guess"), F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= sites)
+    return merged.select("h", "g", "first_id", F.when(F.col("guess") < low, "no").when(F.col("guess") > high, "yes").otherwise("near").alias("verdict"))
+
+
 def boilerplate(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(h, first_id): hashes of the lines seen at that many distinct sites, and the least id that has the line."""
+    """(h, g, first_id): hashes of the lines seen at that many distinct sites, and the least id that has the line."""
     lines = _lines(docs, id_col, text_col, site_col)
-    merged = lines.groupBy("h").agg(F.bit_or(_bit(F.col("site"), 0)).alias("low"), F.bit_or(_bit(F.col("site"), 1)).alias("high"), F.count("*").alias("n"), F.min("id").alias("first_id"))
-    bits = F.bit_count("low") + F.bit_count("high")
-    guess = estimate(F.col("low"), F.col("high"))
-    verdict = F.when(bits >= sites, "yes").when(guess >= sites * far, "yes").when(guess * far <= sites, "no").otherwise("near")
-    judged = merged.where(F.col("n") >= sites).select("h", "first_id", verdict.alias("verdict")).where("verdict <> 'no'").checkpoint()
-    near = judged.where("verdict = 'near'").select("h", "first_id")
-    exact = lines.join(small_side(near), "h").groupBy("h", "first_id").agg(F.countDistinct("site").alias("k")).where(F.col("k") >= sites)
-    return judged.where("verdict = 'yes'").select("h", "first_id").union(exact.select("h", "first_id"))
+    found = judged(lines, sites, far).where("verdict <> 'no'").checkpoint()
+    near = found.where("verdict = 'near'").select("h", "g", "first_id")
+    exact = lines.join(small_side(near), ["h", "g"]).groupBy("h", "g", "first_id").agg(F.countDistinct("site").alias("k")).where(F.col("k") >= sites)
+    return found.where("verdict = 'yes'").select("h", "g", "first_id").union(exact.select("h", "g", "first_id"))
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -92,7 +87,7 @@ def line_dedup(docs: DataFrame, sites: int = SITES, far: float = FAR, id_col: st
     ensure_checkpoint_dir(docs.sparkSession)
     bad = boilerplate(docs, sites, far, id_col, text_col, site_col).checkpoint()
     lines = _lines(docs, id_col, text_col, site_col)
-    marks = lines.join(small_side(bad), "h").where("id <> first_id").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("__gone")).select(F.col("id").alias("__id"), F.col("text_key").alias("__of"), "__gone")
+    marks = lines.join(small_side(bad), ["h", "g"]).where("id <> first_id").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("__gone")).select(F.col("id").alias("__id"), F.col("text_key").alias("__of"), "__gone")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__key"), F.xxhash64(F.col(text_col)).alias("__text_key"))
     joined = row.join(marks, (F.col("__key") == F.col("__id")) & (F.col("__text_key") == F.col("__of")), "left")
     kept = _between(F.split(F.col(f"__row.`{text_col}`"), "\n"), F.col("__gone"))

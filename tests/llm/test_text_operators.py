@@ -51,13 +51,34 @@ def test_lines_equal_brute_force(spark):
     assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()) == want
 
 
-def test_sketch_bounds_and_estimate(spark):
+def test_the_estimate_decides(spark):
+    """Of lines that are all seen often, those of few sites and of many are decided by the sketch, the others aren't."""
+    sites = {"few": 1, "two": 2, "under": 4, "at": 5, "over": 6, "many": 40}
+    docs = [(100 * k + i, name, None, f"s{i % n}") for k, (name, n) in enumerate(sites.items()) for i in range(max(n, 10))]
     from pyspark.sql import functions as F
 
-    for n in (1, 4, 30, 400):
-        df = spark.range(n).select(F.xxhash64("id").alias("s")).agg(F.bit_or(lines._bit(F.col("s"), 0)).alias("lo"), F.bit_or(lines._bit(F.col("s"), 1)).alias("hi"))
-        r = df.select((F.bit_count("lo") + F.bit_count("hi")).alias("bits"), lines.estimate(F.col("lo"), F.col("hi")).alias("e")).first()
-        assert r["bits"] <= n and n / 2.5 <= r["e"] <= n * 2.5
+    told = lines.judged(lines._lines(table(spark, docs), "doc_id", "text", "source"))
+    names = spark.createDataFrame([(x,) for x in sites], "name string").select("name", lines.line_key(F.col("name")).alias("k")).select("name", "k.*")
+    verdict = {r["name"]: r["verdict"] for r in told.join(names, ["h", "g"]).collect()}
+    assert verdict == {"few": "no", "two": "no", "under": "near", "at": "near", "over": "near", "many": "yes"}
+    gone = {r["doc_id"] for r in lines.line_dedup(table(spark, docs)).where("n_removed > 0").collect()}
+    assert gone == {i for i, name, _, _ in docs if sites[name] >= 5} - {300, 400, 500}
+
+
+def test_estimates_over_many_thresholds(spark):
+    rng = random.Random(1)
+    for sites in (3, 30):
+        docs, n = [], 0
+        for k in range(120):
+            for j in range(rng.choice((1, 2, sites - 1, sites, sites + 1, 4 * sites))):
+                docs += [(n, f"line {k}", None, f"s{j}"), (n + 1, f"line {k}", None, f"s{j}")]
+                n += 2
+        count = defaultdict(set)
+        for _, t, _, s in docs:
+            count[t].add(s)
+        first = {t: i for i, t, _, _ in reversed(docs)}
+        gone = {r["doc_id"] for r in lines.line_dedup(table(spark, docs), sites).where("n_removed > 0").collect()}
+        assert gone == {i for i, t, _, _ in docs if len(count[t]) >= sites and first[t] != i}
 
 
 def test_no_lines(spark):
