@@ -71,11 +71,12 @@ e AS (SELECT CASE WHEN max(p) / min(p) <= 1.5 THEN 0.0 ELSE ceil(round((1 - ln(1
 w AS (SELECT src, t, p ** a / sum(p ** a) OVER () AS w FROM r, e),
 b AS (SELECT src, t, CAST(floor(w * max(t / w) OVER () + 0.5) AS BIGINT) AS budget FROM w),
 pl AS (SELECT src, coalesce(budget // b.t, 1) AS whole, coalesce(budget % b.t, 0) AS part FROM s LEFT JOIN b USING (src)),
-bl AS (SELECT src, key[1:3] AS block, sum(tokens) AS bt FROM base GROUP BY ALL),
+dg AS (SELECT src, CAST(least(greatest(ceil(round(ln(greatest(t, 1) / 16777216) / ln(16), 9)), 2), 6) AS INTEGER) AS d FROM s),
+bl AS (SELECT src, key[1:d] AS block, sum(tokens) AS bt FROM base JOIN dg USING (src) GROUP BY ALL),
 x AS (SELECT src, block, bt, whole, part, epoch, md5('mix-1|' || src || '|' || epoch || '|' || block) AS bk FROM bl JOIN pl USING (src), unnest(range(CAST(whole AS BIGINT) + 1)) u(epoch)),
 y AS (SELECT *, row_number() OVER o AS block_rank, coalesce(sum(bt) OVER (PARTITION BY src, epoch ORDER BY bk, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM x WINDOW o AS (PARTITION BY src, epoch ORDER BY bk, block)),
 z AS (SELECT *, CASE WHEN epoch < whole THEN bt ELSE part - ahead END AS room FROM y WHERE epoch < whole OR (part > 0 AND part > ahead)),
-u AS (SELECT base.*, epoch, block_rank, room, bt, sum(tokens) OVER (PARTITION BY base.src, z.block, epoch ORDER BY key) AS so_far FROM base JOIN z ON base.src = z.src AND key[1:3] = z.block),
+u AS (SELECT base.*, epoch, block_rank, room, bt, sum(tokens) OVER (PARTITION BY base.src, z.block, epoch ORDER BY key) AS so_far FROM base JOIN dg ON base.src = dg.src JOIN z ON base.src = z.src AND key[1:d] = z.block),
 mixed AS (SELECT * FROM u WHERE room >= bt OR so_far <= room)
 """
 MIXING = f"""
