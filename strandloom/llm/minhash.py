@@ -26,8 +26,6 @@ from . import blocks, flat, repeats
 BITS, SHINGLE, THRESHOLD, ROWS, RECALL = 512, 2, 0.55, 4, 0.99
 #: How far below and above the threshold an estimate leaves a pair in doubt: about three standard deviations (0.052 at 0.55).
 BELOW, ABOVE = 0.15, 0.17
-#: Bits of the filter that says which documents are compared by their shingles; documents that it lets through by chance cost shuffle only.
-FILTER_BITS = 1 << 24
 
 
 def plan(threshold: float, rows: int, recall: float) -> int:
@@ -182,18 +180,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
     Only documents that a pair may name, by a bitmap over hashes of ids, are shuffled.
     """
-    bit = F.xxhash64("id").bitwiseAND(FILTER_BITS - 1)
-    named = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).select(bit.alias("bit"))
-    filled = named.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("mask")).toArrow()
-    bitmap = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
-    bitmap[filled["at"].to_numpy()] = filled["mask"].to_numpy()
-
-    def named_only(batches):
-        for batch in batches:
-            b = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1)
-            yield batch.select([0, 1]).filter(keep)
-
     def exact(batches):
         for batch in batches:
             size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -204,7 +190,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(similarity(part.column(2), part.column(3)) >= threshold))
                 lo = hi
 
-    some = docs.withColumn("bit", bit).mapInArrow(named_only, "id LONG, text STRING")
+    some = repeats.only_named(docs, ["id"], pairs.select(F.explode(F.array("u", "v")).alias("id")), ["id"])
     found = pairs.join(some.withColumnsRenamed({"id": "u", "text": "x"}), "u").join(some.withColumnsRenamed({"id": "v", "text": "y"}), "v")
     return found.select("u", "v", "x", "y").mapInArrow(exact, "u LONG, v LONG")
 
@@ -255,7 +241,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
                 yield pa.record_batch([pa.array(part[0]), pa.array(part[1]), pa.array(np.full(part.shape[1], certain))], names=["u", "v", "certain"])
 
     ensure_checkpoint_dir(docs.sparkSession)
-    docs = repeats.documents(docs, id_col, text_col)
+    docs = repeats.documents(docs, id_col, text_col).select("id", "text")
     pairs = blocks.send(docs, sign, n).mapInArrow(verify, "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
     edges = pairs.where("certain").select("u", "v").union(_verified(docs, pairs.where("NOT certain AND u <> v").select("u", "v"), threshold))
     return connected_components(edges).withColumnsRenamed({"node": "doc_id", "component": "group_id"})

@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import ensure_checkpoint_dir
 from . import blocks, flat
 
+#: Bits of the filter that says which documents are joined; 2 MB for the workers.
+FILTER_BITS = 1 << 24
 
 
 def gram_of(length: int) -> int:
@@ -112,9 +115,31 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             b, e = part[0], part[-1] + size[lo : lo + 10_000][-1]
             yield pa.record_batch([pa.array(ids[part], pa.int64()), pa.array(of[part], pa.int32()), flat.lists(at[b:e], size[lo : lo + 10_000], pa.int32())], names=["id", "of", "places"])
 
-    places = anchors(docs, length, n).mapInArrow(repeated, "id LONG, of INT, places ARRAY<INT>")
+    ensure_checkpoint_dir(docs.sparkSession)
+    places = anchors(docs, length, n).mapInArrow(repeated, "id LONG, of INT, places ARRAY<INT>").checkpoint()
+    few = only_named(docs, ["id", "of"], places, ["id", "of"])
     places = places.groupBy("id", "of").agg(F.flatten(F.collect_list("places")).alias("places"))
-    return docs.join(places, ["id", "of"]).select("id", "text", "places", "of")
+    return few.join(places, ["id", "of"]).select("id", "text", "places", "of")
+
+
+def only_named(docs: DataFrame, columns: list[str], named: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of docs whose columns may be among those of named, so that a join with it needn't shuffle the others.
+
+    A bitmap over hashes says so, of fixed size: where it fills up, rows that no one named
+    pass too, and cost shuffle only.
+    """
+    bit = lambda names: F.xxhash64(*names).bitwiseAND(FILTER_BITS - 1)
+    filled = named.select(bit(by).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("mask")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    bitmap[filled["at"].to_numpy()] = filled["mask"].to_numpy()
+    kept = docs.columns
+
+    def pick(batches):
+        for batch in batches:
+            b = batch.column(len(kept)).to_numpy(zero_copy_only=False)
+            yield batch.select(range(len(kept))).filter(pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1))
+
+    return docs.withColumn("bit", bit(columns)).mapInArrow(pick, docs.schema)
 
 
 def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, length: int) -> np.ndarray:
