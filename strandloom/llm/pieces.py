@@ -4,8 +4,13 @@ A text is cut into segments that no merge can cross: before a space mark that fo
 another character, and around characters that have no piece.  The distinct segments
 of a chunk are encoded together as flat symbol arrays.  In a round every segment
 finds its least pair rank, the leftmost pairs of that rank merge all at once, and
-the arrays are compacted; segments without a pair leave.  As a merge's products only
-make pairs of later rank, this gives what merging one pair at a time gives.
+the arrays are compacted; segments without a pair leave.
+
+One merge at a time, always of the leftmost pair of least rank, could do something else
+only if a merge made a pair of earlier rank that takes a symbol from another
+occurrence of the merged pair: from (x, y) to z, a pair (.. z, x) of a rank before z's.
+The model's table is searched for such pairs, and where a rank has one, a round merges
+only the leftmost occurrence.
 """
 
 from __future__ import annotations
@@ -46,6 +51,13 @@ class Model:
         self.keys, self.ranks = (np.array(c, dtype=t) for c, t in zip(zip(*pairs), (np.int64, np.int32)))
         self.of_rank = np.zeros(len(rank), dtype=np.int32)
         self.of_rank[list(rank.values())] = [normal[p] for p in rank]
+        #: ranks whose occurrences have to be merged one at a time
+        self.single = np.zeros(len(rank), dtype=bool)
+        for a, b in ((p[:k], p[k:]) for p in normal for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal):
+            for k in range(len(a) - len(b)):
+                z = a[k:]
+                if z.startswith(b) and z in normal and z[len(b) :] in normal and rank[a + b] < rank[z]:
+                    self.single[rank[z]] = True
         self.bytes = np.zeros(256, dtype=np.int32)
         surface = []
         for i, p in enumerate(pieces):
@@ -105,6 +117,9 @@ def merge(model: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
         hit = np.flatnonzero(rank == of)
         if not len(hit):
             continue
+        alone = model.single[rank[hit]]
+        if alone.any():
+            hit = hit[~alone | np.append(True, segment[hit[1:]] != segment[hit[:-1]])]
         # of pairs that overlap, every second from the left
         new = np.append(True, hit[1:] != hit[:-1] + 1)
         first = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators.sizes import small_side
 from . import flat
 
 #: Greatest share of good documents of a stratum that may be rejected, and the chance that any stratum breaks it.
@@ -84,7 +85,8 @@ def scores(text: Column) -> Column:
         found = measure(texts)
         return pa.StructArray.from_arrays([pa.array(found[rule]) for rule in GRID], names=list(GRID))
 
-    return F.arrow_udf(run, StructType([StructField(rule, DoubleType()) for rule in GRID]))(text)
+    # said to be non-deterministic, so that the planner doesn't evaluate it again in a filter
+    return F.arrow_udf(run, StructType([StructField(rule, DoubleType()) for rule in GRID])).asNondeterministic()(text)
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -102,15 +104,21 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> Da
     ).select("row", "id", "stratum", "score.*")
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The chosen cutoff by (stratum, rule); none where nothing is proven.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """(stratum, quality, one column for each rule) of the labelled documents; only those are scored."""
+    told = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").distinct()
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    return some.join(small_side(told), "id").select("stratum", "quality", scores(F.col("text")).alias("score")).select("stratum", "quality", "score.*")
+
+
+def cutoffs(scored: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
+    """The chosen cutoff by (stratum, rule) from labelled(); none where nothing is proven.
 
     What comes to the driver are counts by stratum, rule and cutoff.
     """
-    told = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").distinct()
     tests = [(rule, cut) for rule, grid in GRID.items() for cut in grid]
     hit = [F.sum(F.when(F.col(rule) >= cut, 1).otherwise(0)).alias(f"t{j}") for j, (rule, cut) in enumerate(tests)]
-    rows = scored.select("id", "stratum", *GRID).join(told, "id").groupBy("stratum", "quality").agg(F.count("*").alias("n"), *hit).collect()
+    rows = scored.groupBy("stratum", "quality").agg(F.count("*").alias("n"), *hit).collect()
     good = {r["stratum"]: r for r in rows if r["quality"] == 1}
     bad = {r["stratum"]: r for r in rows if r["quality"] == 0}
     level, limit = delta / max(1, len(good) * len(tests)), alpha / len(GRID)
@@ -130,10 +138,11 @@ def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     Documents without a stratum form the stratum of the empty name; a stratum without
     enough labels rejects nothing.  Null and empty texts pass.  Labels without an id or
     with a quality other than 0 and 1 are ignored, repeated ones count once, and a
-    document labelled both ways counts on both sides.  Rows that are there twice stay twice.
+    document labelled both ways counts on both sides.  Rows that are there twice stay twice, texts of any length are scored whole,
+    and other columns, whatever their names, are carried along.
     """
     scored = _scored(docs, id_col, text_col, stratum_col)
-    chosen = cutoffs(scored, labels, alpha, delta)
+    chosen = cutoffs(labelled(docs, labels, id_col, text_col, stratum_col), alpha, delta)
     reject = F.lit(False)
     for (stratum, rule), cut in sorted(chosen.items()):
         reject = reject | ((F.col("stratum") == stratum) & (F.col(rule) >= cut))

@@ -33,6 +33,14 @@ SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(
 FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
 """
 
+NEAR_COPIES = """
+WITH b AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+v AS (SELECT vec_id * 3 AS vec_id, e FROM b UNION ALL SELECT vec_id * 3 + 1, list_transform(e, lambda x: x * 2.5) FROM b
+  UNION ALL SELECT vec_id * 3 + 2, list_transform(range(1, len(e) + 1), lambda i: e[i] + 0.02 * e[i % len(e) + 1]) FROM b)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+"""
+
 LINES_CTE = """
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 bad AS (SELECT trim(line) AS b, min(doc_id) AS first_id FROM l WHERE trim(line) <> '' GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 5),
@@ -85,37 +93,67 @@ SELECT doc_id, src AS source, CAST(epoch AS INTEGER) AS epoch, CAST(block_rank A
 """
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def url_sql(scheme: str, tracking: str, canonical: tuple[str, ...], block: tuple[str, ...], allow: tuple[str, ...]) -> str:
-    """SQL for the URL filter with the operator's patterns and rules."""
-
-    def normal(u: str) -> str:
-        bare = f"regexp_replace(regexp_replace(trim({u}), '{scheme}', ''), '#.*$', '')"
-        where = f"regexp_replace(lower(regexp_extract(regexp_replace(trim({u}), '{scheme}', ''), '^(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(www|m)\\.', '')"
-        path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*(/[^?]*)', 1), '/+$', '')"
-        query = f"regexp_replace(regexp_replace(regexp_extract({bare}, '\\?(.*)$', 1), '(^|&){tracking}', '', 'g'), '^&+', '')"
-        return f"CASE WHEN trim({u}) <> '' THEN {where} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
-
-    targets = ", ".join(f"regexp_extract(html, {_quoted(p)}, 1)" for p in canonical)
-    folder = f"regexp_extract(regexp_replace(url, '[?#].*$', ''), '{scheme}[^/]*(/.*/|/)?', 0)"
-    resolved = f"CASE WHEN regexp_matches(t, '{scheme}') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:', 0) || t WHEN t LIKE '/%' THEN regexp_extract(url, '{scheme}[^/?#]*', 0) || t ELSE rtrim({folder}, '/') || '/' || t END"
-    rules = lambda r: ", ".join(f"({_quoted(x.partition('/')[0])}, {_quoted(''.join(x.partition('/')[1:]))})" for x in r)
-    hit = lambda name: f"SELECT DISTINCT node FROM k, {name} r WHERE ('.' || regexp_extract(node, '^[^/?]*', 0)) LIKE '%.' || r.h AND starts_with(regexp_extract(node, '^[^/?]*(.*)$', 1), r.prefix)"
-    return f"""
-WITH RECURSIVE p AS (SELECT page_id, trim(url) AS url, html, {normal('url')} AS node FROM pages),
-x AS (SELECT node, url, unnest([{targets}]) AS t FROM p WHERE node IS NOT NULL),
-r AS (SELECT node, {resolved} AS target FROM x WHERE t <> ''),
-e AS (SELECT DISTINCT node AS a, {normal('target')} AS b FROM r),
-both_ AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
-n AS (SELECT node FROM p WHERE node IS NOT NULL UNION SELECT a FROM both_),
+# Addresses are read here by cutting texts at their separators, with no pattern of the operator's.
+
+
+def _after(text: str, mark: str) -> str:
+    """What follows the first mark, or nothing."""
+    return f"(CASE WHEN instr({text}, '{mark}') > 0 THEN substr({text}, instr({text}, '{mark}') + {len(mark)}) ELSE '' END)"
+
+
+def _before(text: str, mark: str) -> str:
+    """What precedes the first mark, or all."""
+    return f"split_part({text}, '{mark}', 1)"
+
+
+def _rules(rules: tuple[str, ...]) -> str:
+    return ", ".join("('{}', '{}')".format(r.partition("/")[0], "".join(r.partition("/")[1:])) for r in rules)
+
+
+def _attribute(name: str) -> str:
+    """A tag's attribute, with or without quotes."""
+    found = rf"regexp_extract(tag, '\s{name}\s*=\s*(\"[^\"]*\"|''[^'']*''|[^\s>]+)', 1, 'i')"
+    return f"trim(trim({found}, '\"'), '''')"
+
+
+def url_sql(block: tuple[str, ...], allow: tuple[str, ...], redirects: str = "SELECT NULL::VARCHAR AS source, NULL::VARCHAR AS target WHERE false") -> str:
+    """SQL for the URL filter, given its rules and a query for the redirects."""
+    bare = _before(_before("url", "?"), "#")
+    parts = f"string_split({bare}, '/')"
+    host = _before(_before("node", "/"), "?")
+    tracked = r"(split_part(x, '=', 1) IN ('ref', 'fbclid', 'gclid', 'sessionid') OR (starts_with(x, 'utm_') AND contains(x, '=')))"
+    hit = lambda name: f"SELECT DISTINCT node FROM k, {name} r WHERE ('.' || {host}) LIKE '%.' || r.h AND starts_with(substr(node, length({host}) + 1), r.prefix)"
+    return rf"""
+WITH RECURSIVE pages_ AS (SELECT page_id, trim(url, ' ') AS url, html FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\s[^>]*', 0, 'i')) AS tag FROM pages_ WHERE coalesce(url, '') <> ''),
+attrs AS (SELECT url, lower(substr(tag, 2, 4)) AS kind, lower({_attribute('rel')}) AS rel, {_attribute('href')} AS href, lower({_attribute('property')}) AS property, {_attribute('content')} AS content, lower({_attribute('http-equiv')}) AS equiv FROM tags),
+named AS (
+  SELECT url, href AS t FROM attrs WHERE kind = 'link' AND rel = 'canonical'
+  UNION ALL SELECT url, content FROM attrs WHERE kind = 'meta' AND property = 'og:url'
+  UNION ALL SELECT url, trim({_after("replace(content, 'URL=', 'url=')", "url=")}) FROM attrs WHERE kind = 'meta' AND equiv = 'refresh'),
+resolved AS (SELECT url, CASE WHEN t LIKE '%://%' THEN t WHEN starts_with(t, '//') THEN split_part(url, '//', 1) || t
+  WHEN starts_with(t, '/') THEN split_part(url, '://', 1) || '://' || {_before(_before(_before("split_part(url, '://', 2)", "/"), "?"), "#")} || t
+  ELSE array_to_string(CASE WHEN len({parts}) > 3 THEN {parts}[1:len({parts}) - 1] ELSE {parts} END, '/') || '/' || t END AS target FROM named WHERE coalesce(t, '') <> ''),
+moved AS ({redirects}),
+asked AS (SELECT DISTINCT trim(x, ' ') AS u FROM (SELECT url AS x FROM pages_ UNION ALL SELECT target FROM resolved UNION ALL SELECT source FROM moved UNION ALL SELECT target FROM moved) WHERE x IS NOT NULL),
+cut AS (SELECT u, {_before("CASE WHEN contains(u, '://') THEN " + _after("u", "://") + " ELSE u END", "#")} AS b FROM asked),
+ends AS (SELECT u, b, list_min(list_filter([instr(b, '/'), instr(b, '?'), length(b) + 1], lambda x: x > 0)) AS c FROM cut),
+halves AS (SELECT u, lower(split_part(split_part(substr(b, 1, c - 1), '@', -1), ':', 1)) AS h, substr(b, c) AS rest FROM ends),
+pieces AS (SELECT u, CASE WHEN starts_with(h, 'www.') THEN substr(h, 5) WHEN starts_with(h, 'm.') THEN substr(h, 3) ELSE h END AS host, {_before('rest', '?')} AS path,
+  array_to_string(list_filter(string_split({_after('rest', '?')}, '&'), lambda x: x <> '' AND NOT {tracked}), '&') AS query FROM halves),
+spelled AS (SELECT u, CASE WHEN u <> '' THEN host || rtrim(path, '/') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS node FROM pieces),
+e AS (SELECT a.node AS a, b.node AS b FROM (SELECT url AS x, target AS y FROM resolved UNION ALL SELECT source, target FROM moved) r JOIN spelled a ON trim(r.x, ' ') = a.u JOIN spelled b ON trim(r.y, ' ') = b.u WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+n AS (SELECT node FROM spelled WHERE node IS NOT NULL),
 reach(node, other) AS (SELECT node, node FROM n UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON reach.other = both_.a),
 k AS (SELECT node, min(other) AS class FROM reach GROUP BY node),
-block_rules(h, prefix) AS (VALUES {rules(block)}), allow_rules(h, prefix) AS (VALUES {rules(allow)}),
+block_rules(h, prefix) AS (VALUES {_rules(block)}), allow_rules(h, prefix) AS (VALUES {_rules(allow)}),
 al AS ({hit('allow_rules')}), bl AS ({hit('block_rules')}),
 bad AS (SELECT DISTINCT class FROM k WHERE node IN (SELECT node FROM bl) AND node NOT IN (SELECT node FROM al))
-SELECT page_id, p.node, k.class, CASE WHEN p.node IN (SELECT node FROM al) THEN 'allow' WHEN k.class IN (SELECT class FROM bad) THEN 'block' ELSE 'pass' END AS decision
-FROM p LEFT JOIN k ON p.node = k.node
+SELECT page_id, s.node, k.class, CASE WHEN s.node IN (SELECT node FROM al) THEN 'allow' WHEN k.class IN (SELECT class FROM bad) THEN 'block' ELSE 'pass' END AS decision
+FROM pages_ p LEFT JOIN spelled s ON p.url = s.u LEFT JOIN k ON s.node = k.node
 """
+
+
+#: Redirects for the query that has some: every fifth page leads to the next one.
+REDIRECTS = "SELECT a.url AS source, b.url AS target FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 5 = 0"

@@ -13,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, ensure_checkpoint_dir
 from ..operators.sizes import small_side
 
 #: Rules: a host, with all its subdomains, and a path that addresses must begin with after it ("" or "/...").
 BLOCK = tuple(f"{name}.example.{top}" for name in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets") for top in ("com", "org", "net"))
 ALLOW = ("ads-track.example.com/en/1", "cheap-pills.example.com/en/2", "free-bets.example.com/de")
 
-#: Patterns shared with the SQL that the query is held against: no look-around, no possessive parts.
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*"
 CANONICAL = (
@@ -81,16 +80,22 @@ def url_filter(
     equivalence class.  Rules are texts or a table with a column rule; redirects has
     columns source and target.  Rows with a null or blank url have null node and class and
     pass; null html names no target; edges with a missing end are left out; rows without
-    an id or that are there twice keep their place; other columns are ignored.
+    an id or that are there twice keep their place; urls and html of any length are read whole; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("node", normal(F.col("url")))
     named = F.array_compact(F.array(*[F.when(t != "", resolve(F.trim("url"), t)) for t in (F.regexp_extract("html", p, 1) for p in CANONICAL)]))
+    ensure_checkpoint_dir(pages.sparkSession)
     edges = rows.where("node IS NOT NULL").select("node", F.explode(named).alias("target")).select("node", normal(F.col("target")).alias("other"))
     if redirects is not None:
         edges = edges.union(redirects.select(normal(F.col("source")), normal(F.col("target"))))
-    components = connected_components(edges, "node", "other")
-    nodes = rows.where("node IS NOT NULL").select("node").distinct()
-    classes = nodes.join(components, "node", "full_outer").select("node", F.coalesce("component", "node").alias("class")).checkpoint()
+    # the components' rounds move keys of 96 bits instead of addresses
+    key = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(c).alias("h"), F.hash(c).alias("g")))
+    edges = edges.checkpoint()
+    components = connected_components(edges.select(key("node").alias("u"), key("other").alias("v"))).withColumnRenamed("node", "key")
+    nodes = rows.select("node").union(edges.select("node")).union(edges.select("other")).where("node IS NOT NULL").distinct().withColumn("key", key("node"))
+    placed = nodes.join(components, "key", "left").select("node", F.coalesce("component", "key").alias("component")).checkpoint()
+    least = placed.groupBy("component").agg(F.min("node").alias("class"))
+    classes = placed.join(least, "component").select("node", "class").checkpoint()
     allowed = _hits(classes.select("node"), allow).withColumn("allowed", F.lit(True))
     blocked = _hits(classes.select("node"), block).join(allowed, "node", "left_anti").withColumn("hit", F.lit(True))
     judged = classes.join(allowed, "node", "left").join(blocked, "node", "left")

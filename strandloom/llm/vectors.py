@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import ensure_checkpoint_dir
 from . import blocks, flat
 
 #: Least cosine of a pair; width of a projection's buckets; share of the pairs at the threshold that the tables are planned to find.
@@ -63,36 +64,46 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """(vec_id_a, vec_id_b, cosine) of the pairs a < b whose cosine is at least threshold, rounded to 6 places.
 
-    Each row is compared with all others; a pair exactly at the threshold is found
+    Each row is compared with all others of its length; a pair exactly at the threshold is found
     with the planned recall and closer ones with more.  Vectors that are null, hold a
-    null, NaN or infinity, are zero, or whose length isn't the commonest one in the table
-    have no pairs; rows without an id are left out; a row that is there twice counts
+    null, NaN or infinity, are zero or of no length have no pairs, and neither have two of unlike
+    lengths; K and L are planned for each length.  Rows without an id are left out; a row that is there twice counts
     once; other columns are ignored.
+
+    Equal vectors, whatever their number, are hashed once: pairs are looked for between
+    distinct vectors and then named for all that have them.
     """
     spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
     n = blocks.partitions(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    shape = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").where((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
     schema = "vec_id_a LONG, vec_id_b LONG, cosine DOUBLE"
-    if shape is None or not shape["d"]:
+    # a vector's name: two hashes of its values
+    named = rows.select("id", "v", F.xxhash64("v").alias("x"), F.hash("v").alias("y"))
+    members = named.select("x", "y", "id").distinct().checkpoint()
+    one = named.dropDuplicates(["x", "y"]).select("x", "y", "v")
+    plans = {r["d"]: plan(r["n"], threshold, width, recall) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    if not plans:
         return spark.createDataFrame([], schema)
-    dim = shape["d"]
-    rows = rows.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
-    k, tables = plan(shape["count"], threshold, width, recall)
 
     def hashed(batches):
-        rng = np.random.default_rng(SEED)
-        direction, shift = rng.standard_normal((dim, k * tables)), rng.random(k * tables) * width
+        made = {}
         box = blocks.Outbox(n)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, v = normalised(batch.column(1), dim)
-            cell = np.floor((v @ direction + shift) / width).astype(np.int64).view(np.uint64).reshape(len(row), tables, k)
-            key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64) * flat.BASE, (len(row), tables)).copy()
-            for j in range(k):
-                key = flat.mix(key ^ cell[:, :, j]) * flat.BASE
-            key = flat.mix(key).ravel()
-            yield from box.add(blocks.by_hash(key, n), key, np.repeat(ids[row], tables))
+            for dim in np.unique(_values(batch.column(2))[2]).tolist():
+                k, tables = plans[dim]
+                if dim not in made:
+                    rng = np.random.default_rng((SEED, dim))
+                    made[dim] = rng.standard_normal((dim, k * tables)), rng.random(k * tables) * width
+                direction, shift = made[dim]
+                row, v = normalised(batch.column(2), dim)
+                cell = np.floor((v @ direction + shift) / width).astype(np.int64).view(np.uint64).reshape(len(row), tables, k)
+                key = np.broadcast_to(flat.mix(np.arange(1, tables + 1, dtype=np.uint64) * flat.BASE + np.uint64(dim)), (len(row), tables)).copy()
+                for j in range(k):
+                    key = flat.mix(key ^ cell[:, :, j]) * flat.BASE
+                key = flat.mix(key).ravel()
+                yield from box.add(blocks.by_hash(key, n), key, np.repeat(ids[row], tables))
         yield from box.flush()
 
     def paired(batches):
@@ -127,16 +138,23 @@ def near_duplicate_pairs(
 
     def exact(batches):
         for batch in batches:
-            (i, u), (j, v) = normalised(batch.column(2), dim), normalised(batch.column(3), dim)
-            if not (len(i) == len(j) == batch.num_rows):
+            size = _values(batch.column(4))[2]
+            alike = size == _values(batch.column(5))[2]
+            for dim in np.unique(size[alike]).tolist():
+                part = batch.filter(pa.array(alike & (size == dim)))
+                (i, u), (j, v) = normalised(part.column(4), dim), normalised(part.column(5), dim)
                 both = np.intersect1d(i, j)
                 u, v = u[np.isin(i, both)], v[np.isin(j, both)]
-                batch = batch.take(pa.array(both))
-            cosine = (u * v).sum(axis=1)
-            near = pa.array(cosine >= threshold)
-            yield pa.record_batch([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(np.round(cosine, 6)).filter(near)], names=["vec_id_a", "vec_id_b", "cosine"])
-
-    pairs = blocks.send(blocks.send(rows, hashed, n), paired, n).mapInArrow(distinct, "a LONG, b LONG")
-    one = rows.dropDuplicates(["id", "v"])
-    found = pairs.join(one.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-    return found.select("a", "b", "x", "y").mapInArrow(exact, schema)
+                cosine = (u * v).sum(axis=1)
+                near = pa.array(cosine >= threshold)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(both)).filter(near) for c in range(4)), pa.array(np.round(cosine, 6)).filter(near)], names=["a", "ya", "b", "yb", "cosine"])
+
+    compared = "a LONG, ya INT, b LONG, yb INT, cosine DOUBLE"
+    pairs = blocks.send(blocks.send(one, hashed, n), paired, n).mapInArrow(distinct, "a LONG, b LONG")
+    found = pairs.join(one.withColumnsRenamed({"x": "a", "y": "ya", "v": "u"}), "a").join(one.withColumnsRenamed({"x": "b", "y": "yb", "v": "w"}), "b").select("a", "ya", "b", "yb", "u", "w").mapInArrow(exact, compared)
+    # a vector that several rows have is near itself, if it can be compared at all
+    several = members.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    itself = one.join(several, ["x", "y"]).select(F.col("x").alias("a"), F.col("y").alias("ya"), F.col("x").alias("b"), F.col("y").alias("yb"), F.col("v").alias("u"), F.col("v").alias("w")).mapInArrow(exact, compared)
+    names = lambda x, y, i: members.withColumnsRenamed({"x": x, "y": y, "id": i})
+    told = lambda df, which: df.join(names("a", "ya", "i"), ["a", "ya"]).join(names("b", "yb", "j"), ["b", "yb"]).where(which).select(F.least("i", "j").alias("vec_id_a"), F.greatest("i", "j").alias("vec_id_b"), "cosine")
+    return told(found, "i <> j").union(told(itself, "i < j"))

@@ -303,6 +303,22 @@ def test_pairs_equal_brute_force(spark):
     assert all(abs(got[p] - want[p]) < 2e-6 for p in got)
 
 
+def test_lengths_and_equal_vectors(spark):
+    """Pairs are found among vectors of every length, and between all of a large group of equal ones."""
+    rng = np.random.default_rng(5)
+    rows, v = [], {}
+    for dim in (4, 16, 33):
+        base = rng.standard_normal((20, dim))
+        for x in (*base, *(base[:6] + 0.03 * rng.standard_normal((6, dim))), *[base[7]] * 40, 2 * base[7]):
+            v[len(v)] = x.tolist()
+    v[900], v[901] = [1.0] * 16 + [float("nan")], [1.0] * 16 + [float("nan")]
+    rows = [(i, x, None, 1, 1) for i, x in v.items()] + [(7, v[8], None, 1, 1)]
+    got = {(r["vec_id_a"], r["vec_id_b"]) for r in vectors.near_duplicate_pairs(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()}
+    held = [(i, np.array(x) / np.linalg.norm(x)) for i, x, *_ in rows]
+    want = {(min(i, j), max(i, j)) for n, (i, x) in enumerate(held) for j, y in held[:n] if i != j and len(x) == len(y) and x @ y >= 0.95}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 2400
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicate_pairs(spark.createDataFrame([], VECTORS)).isEmpty()
     assert vectors.near_duplicate_pairs(spark.createDataFrame([(1, None, 1, 1, 1)], VECTORS)).isEmpty()

@@ -170,9 +170,68 @@ def test_uses_keep_to_budgets(spark):
     assert mixing.mix(table(spark, [])).isEmpty()
 
 
+def test_mixing_of_odd_columns(spark):
+    """Columns that can't be ordered or hashed, names that the operator uses inside, very long texts and rows that are there twice."""
+    rows = [(1, "a b", "s", {"k": 1}, "x", 5), (1, "a b", "s", {"k": 1}, "x", 5), (2, "w " * 80_000, "s", None, None, None), (3, "c", "t", {}, "y", 1), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, key string, tokens int")
+    for total in (None, 20):
+        out = mixing.mix(docs, as_rows=True, total=total)
+        assert out.columns == docs.columns
+        ids = Counter(r["doc_id"] for r in out.collect())
+        assert set(ids) <= {1, 2, 3, None} and (total or (ids[1] >= 2 and ids[2] >= 1))
+    assert mixing.mix(docs.limit(0), as_rows=True).isEmpty()
+
+
+def test_blocks_follow_tokens(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [0, 10, 256 << 24, 300 << 24, 1 << 50]
+    got = [r["d"] for r in spark.createDataFrame([(t,) for t in sizes], "t long").select(mixing._digits(F.col("t")).alias("d")).collect()]
+    assert got == [2, 2, 2, 3, 6]
+
+
 # ---- addresses ------------------------------------------------------------
 
 
+def test_classes_equal_brute_force(spark):
+    """Random links, redirects and rules against union-find."""
+    rng = random.Random(6)
+    spell = [lambda u: "http://" + u, lambda u: "https://www." + u + "/", lambda u: "http://m." + u + "?utm_source=a#x", lambda u: "HTTPS://" + u.upper().replace("/P", "/p") + "?ref=1"]
+    for _ in range(3):
+        names = [f"h{rng.randrange(12)}.net/p{rng.randrange(6)}" for _ in range(60)]
+        edges, pages, redirects = [], [], []
+        for i in range(120):
+            a, b = rng.choice(names), rng.choice(names)
+            html = rng.choice((None, "", '<link rel="canonical" href="{}">', "<meta property='og:url' content='{}'>", '<link href="{}" rel=canonical>', '<meta http-equiv="refresh" content="3; url={}">'))
+            if html and rng.random() < 0.25:
+                edges.append((a, b))
+                html = html.format(rng.choice(spell)(b))
+            else:
+                html = rng.choice((None, "x" * 30_000 + "<link rel=stylesheet href=/b.css>"))
+            pages.append((i, rng.choice(spell)(a), html, a))
+        for _ in range(8):
+            a, b = rng.choice(names), rng.choice(names)
+            redirects.append((rng.choice(spell)(a), rng.choice(spell)(b)))
+            edges.append((a, b))
+        block, allow = ("h1.net", "h2.net/p3"), ("h1.net/p2", "h5.net")
+        known = {a for *_, a in pages} | {x for e in edges for x in e}
+        parent = {x: x for x in known}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        hit = lambda x, rules: any(x.split("/")[0] == r.split("/")[0] and x[len(r.split("/")[0]) :].startswith(r[len(r.split("/")[0]) :]) for r in rules)
+        bad = {root(x) for x in known if hit(x, block) and not hit(x, allow)}
+        want = {(i, a, root(a), "allow" if hit(a, allow) else "block" if root(a) in bad else "pass") for i, _, _, a in pages}
+        got = urls.url_filter(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string"), block, allow, spark.createDataFrame(redirects, "source string, target string"))
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_aliases_share_decisions(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head></html>'
     pages = [
@@ -209,6 +268,22 @@ def test_ids_equal_the_library(spark, sf):
             assert r["ids"] == sp.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["exact"]
 
 
+def test_merges_one_at_a_time_where_they_have_to_be():
+    """A table in which a merge makes a pair of earlier rank that takes a symbol of the next occurrence."""
+    model = pieces.load()
+    assert not model.single.any()
+
+    class Small:
+        size, of_rank = 10, np.array([5, 4], np.int32)
+        # a=1, b=2, ab=4 (rank 1), ab+a=5 (rank 0)
+        keys, ranks = np.array([1 * 10 + 2, 4 * 10 + 1]), np.array([1, 0], np.int32)
+        single = np.array([False, True])
+
+    encode = lambda *x: [c.tolist() for c in pieces.merge(Small, np.array([s for t in x for s in t], np.int32), np.array([len(t) for t in x]))]
+    assert encode([1, 2, 1, 2]) == [[5, 2], [2]]
+    assert encode([1, 2, 1, 2, 1, 2], [1, 2]) == [[5, 2, 4, 4], [3, 1]]
+
+
 def test_decoding_round_trip(spark):
     docs = table(spark, [(i, t, None, None) for i, t in enumerate(ODD)] + [(900, None, None, None)])
     back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(pieces.encode_documents(docs)).collect()}
