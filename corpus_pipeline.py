@@ -16,7 +16,7 @@ from strandloom.operators.components import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no risk-controlled quality rule rejects."""
+    """Documents that no risk-controlled quality rule rejects; null and empty texts pass, rows that are there twice stay twice."""
     return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,18 +30,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; rows without an id stay."""
-    copies = minhash.near_duplicate_groups(docs).where("doc_id <> group_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, that of the least id.
+
+    A document is its id and text, so of two texts under one id only the one goes that
+    is a copy; rows that are there twice stay or go together, and rows without an id stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    ids = docs.select(key.alias("key"), F.col("doc_id").alias("id"), "text")
+    groups = minhash.near_duplicate_groups(ids, id_col="key").checkpoint()
+    members = groups.join(ids.select("key", "id").where("key IS NOT NULL").distinct(), groups["doc_id"] == F.col("key"))
+    first = members.groupBy("group_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    copies = members.join(first, "group_id").where(F.struct("id", "key") != F.col("first")).select("id", "key")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    return row.join(copies, ["id", "key"], "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each source is used at least once and at most 1.5 times, so that a document may be there twice."""
+    """The mixture: each source is used at least once and at most 1.5 times, so that a document may be there twice.
+
+    Rows without a source are a source of their own; null and empty texts cost nothing and go with their block.
+    """
     return mixing.mix(docs, as_rows=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document of the mixture, checked by decoding."""
+    """Piece ids of each row of the mixture, checked by decoding; a null text has null ids, an empty one none."""
     return pieces.encode_documents(docs)
 
 
