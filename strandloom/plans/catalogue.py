@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, graphs, tables, texts
+from . import events, formats, graphs, tables, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **tables.QUERIES, **events.QUERIES, **graphs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **events.ORACLE_SQL, **graphs.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **tables.QUERIES, **events.QUERIES, **graphs.QUERIES, **formats.QUERIES}
+ORACLE_SQL: dict[str, str] = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **events.ORACLE_SQL, **graphs.ORACLE_SQL, **formats.ORACLE_SQL}

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 import os
+import re
+import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -50,39 +56,72 @@ class _Range(InputPartition):
         self.file_id, self.path, self.begin, self.end = file_id, path, begin, end
 
 
+_PACKED = (".gz", ".tar", ".tgz")
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address (file, hdfs, s3a, gs and what else Arrow knows) and the path in it."""
+    if not re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub("^s3[an]:", "s3:", path)))
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of a file, or of those in a folder that don't begin with _ or a point."""
+    where, inner = _place(path)
+    info = where.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = [x for x in where.get_file_info(fs.FileSelector(inner, recursive=True)) if x.type == fs.FileType.File and x.base_name[0] not in "_."]
+    return sorted((path.rstrip("/") + x.path[len(inner.rstrip("/")) :], x.size) for x in found)
+
+
 class FastqReader(DataSourceReader):
-    """Byte ranges of plain files, each taking the records that begin in it; a compressed file is one range."""
+    """Byte ranges of plain files, each taking the records that begin in it; a compressed file, or one of which only the first rows are asked for, is one range."""
 
     def __init__(self, schema: StructType, options: dict):
         self.columns = schema.names
         self.paths = sorted(p for p in options["path"].split(",") if p)
         self.size = int(options.get("rangebytes", 64 << 20))
+        self.most = int(options["rowsperfile"]) if "rowsperfile" in options else None
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for i, path in enumerate(self.paths):
-            whole = os.path.getsize(path)
-            step = whole if path.endswith(".gz") else self.size
-            out += [_Range(i, path, b, whole if path.endswith(".gz") else min(whole, b + step)) for b in range(0, max(whole, 1), max(step, 1))]
+        for i, (path, whole) in enumerate(x for p in self.paths for x in _files(p)):
+            one = path.endswith(_PACKED) or self.most is not None
+            step = max(whole, 1) if one else self.size
+            out += [_Range(i, path, b, min(whole, b + step)) for b in range(0, max(whole, 1), step)]
         return out
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         place = {"file_id": 0, "read_id": 1, "name": 2, "mate": 3, "seq": 4, "qual": 5}
         pick = [place[c] for c in self.columns]
-        for at, head, seq, qual in records_of(part.path, part.begin, part.end):
+        for at, head, seq, qual in itertools.islice(records_of(part.path, part.begin, part.end), self.most):
             name, mate = split_head(head)
             row = (part.file_id, at, name, mate, seq, qual)
             yield tuple(row[i] for i in pick)
 
 
+def _opened(path: str) -> BinaryIO:
+    """A file's bytes, unpacked; of a tar the first file in it."""
+    where, inner = _place(path)
+    raw = io.BufferedReader(where.open_input_file(inner), 1 << 20)
+    if path.endswith((".tar", ".tar.gz", ".tgz")):
+        packed = tarfile.open(fileobj=raw, mode="r|*")
+        return next((packed.extractfile(m) for m in packed if m.isfile()), io.BytesIO())
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+
+
 def records_of(path: str, begin: int, end: int) -> Iterator[tuple[int, str, str, str]]:
     """(place, head, seq, qual) of the records that begin in [begin, end); place is the byte at which one begins.
 
     A range starts at a line whose shape is a record's: @ first, + two lines on, and equal
     lengths between; a quality line that begins with @ fails that test.
     """
-    packed = path.endswith(".gz")
-    with gzip.open(path, "rb") if packed else open(path, "rb") as f:
+    packed = path.endswith(_PACKED)
+    with _opened(path) as f:
         at = 0
         if begin and not packed:
             f.seek(begin - 1)
@@ -149,11 +188,16 @@ class FastqSource(DataSource):
         return FastqReader(schema, {k.lower(): v for k, v in self.options.items()})
 
 
-def read_fastq(spark: SparkSession, paths: list[str], range_bytes: int = 64 << 20, columns: list[str] | None = None) -> DataFrame:
-    """Records of FASTQ files that all executors can see; read_id is a record's place in its file."""
+def read_fastq(spark: SparkSession, paths: list[str], range_bytes: int = 64 << 20, columns: list[str] | None = None, rows_per_file: int | None = None) -> DataFrame:
+    """Records of FASTQ files or folders of them, on any storage that Arrow reads; read_id is a record's place in its file.
+
+    With rows_per_file no more than the first so many are read of each file (A6, B2): the
+    reading stops there, and nothing is sorted.
+    """
     spark.dataSource.register(FastqSource)
     kinds = dict(c.split() for c in FastqSource({}).schema().split(", "))
     reader = spark.read.format("fastq").option("path", ",".join(paths)).option("rangeBytes", range_bytes)
+    reader = reader if rows_per_file is None else reader.option("rowsPerFile", rows_per_file)
     return reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).load()
 
 
