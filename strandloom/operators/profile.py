@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,41 +178,3 @@ def numbered_labels(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
     """rows with name: the label, with its number where the label is there more than once."""
     w = Window.partitionBy(label)
     return rows.withColumn("name", F.when(F.count("*").over(w) > 1, F.concat_ws("-", label, F.row_number().over(w.orderBy(*order)))).otherwise(F.col(label)))
-
-
-# ---- planning on the driver: scalars only ---------------------------------
-
-
-def rows_needed(counts: list[tuple[int, float]], total: int, target: float, cap: int) -> int:
-    """Rows for a target coverage from (rows, coverage) of growing prefixes.
-
-    The first prefix with a coverage of 5, or with a tenth of the table, is extrapolated.
-    """
-    for rows, coverage in counts:
-        if coverage >= 5 or rows * 10 > total:
-            return min(cap, total, math.ceil(rows * target / coverage)) if coverage > 0 else min(cap, total)
-    return min(cap, total)
-
-
-def word_size(coverage: float, length: float, error: float, limit: float = 0.95, lo: int = 21, hi: int | None = None) -> int:
-    """The greatest word size at which the chance that a position lacks a clean word stays below 1 - limit.
-
-    Poisson: coverage*(length-w+1)/length * (1-error)**w clean words are expected at a position.
-    """
-    hi = hi or int(length)
-    best = lo
-    for w in range(lo, hi + 1):
-        clean = coverage * (length - w + 1) / length * (1 - error) ** w
-        if math.exp(-clean) > 1 - limit:
-            break
-        best = w
-    return best
-
-
-def resolve_parameters(targets: list[dict]) -> dict:
-    """One set of parameters for several targets: least word size, least reduction, greatest reach."""
-    sizes = [t["word_size"] for t in targets]
-    return {
-        "word_size": min(sizes), "reduction": min([1.0] + [t["limit"] / t["coverage"] for t in targets if t["coverage"] > t["limit"] > 0]),
-        "max_extend": math.inf if any(t.get("max_gap") is None for t in targets) else max(2 * t["max_gap"] for t in targets),
-    }

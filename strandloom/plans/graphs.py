@@ -30,25 +30,25 @@ def _nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1),
+WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem),
 x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON x.a = r.other)
 SELECT node, min(other) AS component FROM r GROUP BY node
 """)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts that first lines of 50 pieces connect (H1)."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
+    """Suppliers and parts that line items connect (H1)."""
+    e = table(spark, sf_dir, "lineitem")
     return connected_components(e.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v")))
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_partkey AS v, l_quantity >= 48 AS e, l_suppkey % 10 AS n FROM lineitem WHERE l_quantity >= 47),
+WITH s AS (SELECT DISTINCT l_partkey AS v, l_quantity >= 25 AS e, l_suppkey % 3 AS n FROM lineitem),
 p AS (SELECT v, e, list_sort(list(n)) AS ns FROM s GROUP BY v, e), q AS (SELECT v, list_sort(list(ns)) AS pair FROM p GROUP BY v),
 g AS (SELECT pair, min(v) AS part_a, count(*) AS n_same FROM q GROUP BY pair HAVING count(*) > 1)
 SELECT part_a, n_same FROM g
 """)
 def parallel_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the same two sets of neighbours (H5)."""
-    sides = table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_partkey").alias("v"), (F.col("l_quantity") >= 48).alias("end"), (F.col("l_suppkey") % 10).alias("neighbour"))
+    sides = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v"), (F.col("l_quantity") >= 25).alias("end"), (F.col("l_suppkey") % 3).alias("neighbour"))
     return graph.parallel_vertices(sides).groupBy(F.col("group").alias("part_a")).agg(F.count("*").alias("n_same"))
 
 
@@ -126,12 +126,12 @@ def cluster_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT l_suppkey AS v, l_returnflag AS db FROM lineitem WHERE l_quantity = 50 AND l_tax > 0.07)
+WITH t AS (SELECT l_orderkey AS v, l_returnflag AS db FROM lineitem)
 SELECT v FROM t GROUP BY v HAVING NOT bool_or(db = 'R')
 """)
 def exclude_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers tagged for other flags only."""
-    t = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_tax > 0.07").select(F.col("l_suppkey").alias("v"), F.col("l_returnflag").alias("db"))
+    """Orders tagged for other flags only."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_returnflag").alias("db"))
     return graph.exclude_other(t, "R")
 
 

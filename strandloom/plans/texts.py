@@ -150,14 +150,13 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH m(c, b) AS (VALUES ('A', 1), ('C', 2), ('M', 3), ('G', 4), ('R', 5), ('S', 6), ('V', 7), ('T', 8), ('W', 9), ('Y', 10), ('H', 11), ('K', 12), ('D', 13), ('B', 14), ('N', 15)),
-x AS (SELECT role, i - 1 AS pos, upper(text[i:i]) AS c FROM conversations, unnest(range(1, 21)) u(i) WHERE length(text) >= 20),
+x AS (SELECT role, i - 1 AS pos, upper(text[i:i]) AS c FROM conversations, unnest(range(1, length(text) + 1)) u(i)),
 g AS (SELECT role, pos, bit_or(b) AS bits FROM x JOIN m USING (c) GROUP BY role, pos)
 SELECT role, CAST(pos AS INTEGER) AS pos, c AS code FROM g JOIN m ON m.b = g.bits
 """)
 def consensus_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ambiguity codes of the first 20 characters by role, of the letters that are codes."""
-    rows = table(spark, sf_dir, "conversations").where(F.length("text") >= 20)
-    found = words.consensus(rows, "role", F.left(F.col("text"), F.lit(20)))
+    """Ambiguity codes of every column of the texts by role, of the letters that are codes."""
+    found = words.consensus(table(spark, sf_dir, "conversations"), "role", F.col("text"))
     return found.where("code IS NOT NULL")
 
 
@@ -174,29 +173,27 @@ def string_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 24 AND 1500),
+WITH b AS (SELECT doc_id, text FROM documents WHERE length(text) >= 24),
 w AS (SELECT doc_id, i AS p, text[i + 1:i + 24] AS w FROM b, unnest(range(length(text) - 23)) u(i)),
 q AS (SELECT x.doc_id, x.p AS a, y.p AS b, y.p - x.p AS line FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND x.p < y.p),
 g AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, line ORDER BY a) AS run FROM q)
 SELECT doc_id, CAST(min(a) AS INTEGER) AS start1, CAST(min(b) AS INTEGER) AS start2, count(*) + 23 AS len FROM g GROUP BY doc_id, line, run
 """)
 def exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated blocks of at least 24 characters inside documents of up to 1500 (C14)."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text").between(24, 1500))
-    return words.exact_repeats(docs, "doc_id", F.col("text"), 24)
+    """Repeated blocks of at least 24 characters inside documents (C14)."""
+    return words.exact_repeats(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 24)
 
 
 @query("""
-WITH b AS (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 12 AND 600),
+WITH b AS (SELECT doc_id, text FROM documents WHERE length(text) >= 12),
 w AS (SELECT doc_id, i AS p, text[i + 1:i + 12] AS w FROM b, unnest(range(length(text) - 11)) u(i)),
 q AS (SELECT x.doc_id, x.p AS a, y.p AS b, x.p + y.p AS line FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = reverse(y.w) AND x.p <= y.p),
 g AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, line ORDER BY a) AS run FROM q)
 SELECT doc_id, CAST(min(a) AS INTEGER) AS start1, CAST(min(b) AS INTEGER) AS start2, count(*) + 11 AS len FROM g GROUP BY doc_id, line, run
 """)
 def inverted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of at least 12 characters that occur mirrored in short documents (C14)."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text").between(12, 600))
-    return words.exact_repeats(docs, "doc_id", F.col("text"), 12, inverted=True, involution="reverse")
+    """Blocks of at least 12 characters that occur mirrored in documents (C14)."""
+    return words.exact_repeats(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 12, inverted=True, involution="reverse")
 
 
 @query("""

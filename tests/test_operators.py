@@ -1,12 +1,14 @@
 import itertools
+import math
 import random
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from strandloom.functions import strings
-from strandloom.operators import cluster, components, graph, intervals, paths, profile, recruit, report, solve, words
+from strandloom.operators import cluster, components, graph, intervals, paths, planning, profile, recruit, report, solve, words
 
 # ---- words and recruit ----------------------------------------------------
 
@@ -123,10 +125,99 @@ def test_every_kth_needs_no_single_task(spark):
 
 
 def test_planning_scalars():
-    assert profile.rows_needed([(100, 1.0), (500, 5.0)], 10_000, 50, 10**6) == 5000
-    assert profile.word_size(30, 100, 0.01) > profile.word_size(5, 100, 0.01)
-    got = profile.resolve_parameters([{"word_size": 31, "coverage": 1000, "limit": 500, "max_gap": 10}, {"word_size": 25, "coverage": 10, "limit": 500, "max_gap": 3}])
-    assert got == {"word_size": 25, "reduction": 0.5, "max_extend": 20}
+    asked = []
+
+    def measure(n):
+        asked.append(n)
+        return n / 10_000, n / 1_000_000
+
+    assert planning.rows_needed(measure, 100, 10**6, [1_000_000, 500_000], 50) == [500_000, 250_000] and asked == [100, 500, 2500, 12_500, 62_500]
+    assert planning.rows_needed(lambda n: (0.1, n / 1000), 100, 77, [1000], 50) == [77]
+    assert planning.rows_needed(lambda n: (6.0, 0.5), 100, 10**6, [1000], 50) == [10**6]
+
+
+@pytest.mark.parametrize(("coverage", "length", "size", "error"), [(30, 100, 150_000, 0.0), (30, 100, 150_000, 0.015), (100, 150, 150_000, 0.015), (500, 150, 16_000, 0.01), (8, 100, 150_000, 0.015), (2, 100, 390_000, 0.0), (60, 250, 390_000, 0.002), (150, 150, 10_000, 0.03), (12, 76, 16_000, 0.015), (1000, 300, 150_000, 0.001)])
+def test_word_sizes_step_by_step(coverage, length, size, error):
+    """The model's words, one condition after another and with plain loops."""
+    wanted = min(60, coverage * 0.35)
+    floor = 5.0
+    while 1 - (1 - math.exp(-floor)) ** size > 0.01:
+        floor += 0.05
+    floor = min(floor, coverage * (1 - 48 / length))
+    wanted = max(floor, wanted)
+    e = error / 2
+    if e:
+        wrong = sum((1 - 2.0**-k) * math.comb(length, k) * e**k * (1 - e) ** (length - k) for k in range(1, int(min(length * e * 10, length))))
+        more = wanted / (1 - wrong) - wanted
+        half = coverage / 2
+        wanted = wanted + more**0.34 if wanted > half else half + (wanted + more - half) ** 0.34 if wanted + more > half else wanted + more
+    assert planning.word_size(coverage, length, size, error) == min(int(length * 0.75), max(49, int(length * (1 - wanted / coverage)) + 1))
+
+
+def test_parameters_of_several_targets():
+    a = planning.Measured(1000.0, 900.0, 1100.0, 150_000, 150_000, 0.04, (400, 100))
+    b = planning.Measured(2000.0, 2000.0, 2000.0, 16_000, 16_000, 0.5, (9000,))
+    got = planning.resolve_parameters([a, b], [10_001], 150, 150)
+    assert got["rows"] == [5000] and got["coverage"] == [500, 1000] and got["word_size"] == min(planning.word_size(500, 150, 150_000), planning.word_size(1000, 150, 16_000))
+    assert got["max_extend"] == [math.ceil(200 * 1.2 * (1 + 0.1**0.5) / 100) * 100, math.inf] and not got["divergent"]
+    assert planning.resolve_parameters([b], [5], 150, 150)["max_extend"] == [math.inf] and planning.reach(a, 150, 100) == 500
+    assert planning.resolve_parameters([a], [5], 100, 100, word=0.5)["word_size"] == 50 and planning.word_size_of_ratio(0.1, 100) == 29 and planning.word_size_of_ratio(99, 100) == 90
+
+
+def _blocks(s, least, inverted, circular, allowed=None):
+    """Maximal blocks by comparing every place with every other one."""
+    n = len(s)
+    flip = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    out = set()
+    at = (lambda i: s[i % n]) if circular else (lambda i: s[i] if 0 <= i < n else None)
+    rc = {c: flip[n - 1 - i] for i, c in enumerate(s)}
+    good = lambda c: c is not None and (allowed is None or c in allowed)
+    for i in range(n):
+        for j in range(n):
+            if not inverted:
+                if i == j or (not circular and i > j):
+                    continue
+                same = lambda k: good(at(i + k)) and at(i + k) == at(j + k)
+                if same(-1) and (circular or i > 0):
+                    continue
+                k = 0
+                while k < n and same(k):
+                    k += 1
+                if k >= least:
+                    out.add((min(i, j), max(i, j), k))
+            else:
+                # a block from i on, whose partner ends at j and is read backwards
+                same = lambda k: good(at(i + k)) and at(j - k) is not None and at(i + k) == rc[at(j - k)]
+                if same(-1):
+                    continue
+                k = 0
+                while k < n and same(k):
+                    k += 1
+                if k >= least:
+                    out.add((min(i, (j - k + 1) % n), max(i, (j - k + 1) % n), k))
+    return out
+
+
+@pytest.mark.parametrize(("inverted", "circular"), [(False, False), (True, True), (False, True)])
+def test_repeats_equal_brute_force(spark, inverted, circular):
+    rng = random.Random(4)
+    texts = []
+    for i in range(12):
+        block = "".join(rng.choice("ACGT") for _ in range(9))
+        other = block[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        texts.append((i, "".join(rng.choice((block, other, *["".join(rng.choice("ACGT") for _ in range(6))] * 2)) for _ in range(6))))
+    texts += [(90, "ACG"), (91, ""), (92, None), (93, "ACGTAACGGT" * 3 + "TT")]
+    df = spark.createDataFrame(texts, "id int, s string")
+    got = {(r["id"], r["start1"], r["start2"], r["len"]) for r in words.exact_repeats(df, "id", F.col("s"), 7, inverted, circular=circular).collect()}
+    want = {(i, *x) for i, s in texts if s and len(s) >= 7 for x in _blocks(s, 7, inverted, circular)}
+    assert got == want and len(want) > 10
+
+
+def test_repeats_of_an_alphabet(spark):
+    s = "ACGTACNACGTACTTTTNNNACGTACN" + "GGNGG" + "ACGTACN"
+    df = spark.createDataFrame([(1, s)], "id int, s string")
+    got = {(r["start1"], r["start2"], r["len"]) for r in words.exact_repeats(df, "id", F.col("s"), 5, alphabet="ACGT").collect()}
+    assert got == _blocks(s, 5, False, False, "ACGT") and (0, 7, 6) in got
 
 
 # ---- intervals ------------------------------------------------------------
