@@ -63,7 +63,7 @@ class Outbox:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        target = np.concatenate([t for t, _ in self.parts])
+        target = np.concatenate([t for t, _ in self.parts])  # columns may have several values a row
         columns = [np.concatenate(c) for c in zip(*(c for _, c in self.parts))]
         self.parts, self.held = [], 0
         order = np.argsort(target, kind="stable")

@@ -2,7 +2,7 @@
 
 A document's shingles are the pairs of adjacent words in lower case, punctuation
 aside.  Its MinHash samples fill bands; documents that share a band's hash are
-candidates.  The samples are also folded into a parity bitmap (an odd sketch): a
+candidates, and only their sketches are sent, to the bands that they share.  The samples are also folded into a parity bitmap (an odd sketch): a
 sample flips one bit, so the samples of two documents that agree cancel out in
 the XOR of the bitmaps, and its population count estimates how many differ.
 Candidates whose estimate lies well above or below the threshold are decided by it
@@ -206,6 +206,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     n = blocks.partitions(docs.sparkSession)
     sure, most = most_bits(min(threshold + ABOVE, 1.0)), most_bits(threshold - BELOW)
     kinds = ["<u8", "<i8"] + ["<u8"] * (BITS // 64)
+    state = ["<i8", f"V{8 * BANDS}", f"V{BITS // 8}"]
 
     def sign(batches):
         box = blocks.Outbox(n)
@@ -217,9 +218,62 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
                     continue
                 start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 sample = samples(hashes, start)
-                keys = band_keys(sample)
-                sketch = np.repeat(odd_sketch(sample), BANDS, axis=0)
-                yield from box.add(blocks.by_hash(keys.ravel(), n), keys.ravel(), np.repeat(ids[chunk.rows[row[start]]], BANDS), *np.ascontiguousarray(sketch.T))
+                owner = ids[chunk.rows[row[start]]]
+                yield from box.add(blocks.by_id(owner, n), owner, band_keys(sample), odd_sketch(sample))
+        yield from box.flush()
+
+    def keep(batches):
+        """One row for each partition: ids, band hashes and sketches of its documents, each once."""
+        pid, parts = None, []
+        for batch in batches:
+            for p, d in zip(batch.column(0), batch.column(1)):
+                pid = p.as_py()
+                parts.append(blocks.unpack(d.as_py(), state))
+        if parts:
+            ids, keys, sketch = (np.concatenate(c) for c in zip(*parts))
+            _, first = np.unique(np.stack([ids.view(np.uint64), *keys.view("<u8").reshape(len(ids), BANDS).T]), axis=1, return_index=True)
+            yield pa.record_batch([pa.array([pid], pa.int32()), pa.array([None], pa.binary()), pa.array([blocks.pack([c[first] for c in (ids, keys, sketch)])], pa.binary())], names=["pid", "data", "home"])
+
+    def ask(batches):
+        """Every band's hash, without the sketch, to where equal ones meet."""
+        box = blocks.Outbox(n)
+        for batch in batches:
+            for pid, home in zip(batch.column("pid").to_pylist(), batch.column("home").to_pylist()):
+                keys = blocks.unpack(home, state)[1].view("<u8")
+                row, band = np.divmod(np.arange(len(keys)), BANDS)
+                yield from box.add(blocks.by_hash(keys, n), keys, np.full(len(keys), pid, np.int32), row.astype(np.uint32), band.astype(np.uint8))
+        yield from box.flush()
+
+    def shared(batches):
+        """The bands that several documents have, back home."""
+        box = blocks.Outbox(n)
+        key, pid, row, band = blocks.gather(batches, ["<u8", "<i4", "<u4", "u1"])
+        order = np.argsort(key, kind="stable")
+        key, pid, row, band = (c[order] for c in (key, pid, row, band))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        many = np.repeat(size > 1, size)
+        back = np.lexsort((band[many], row[many]))
+        yield from box.add(pid[many][back], row[many][back], band[many][back])
+        yield from box.flush()
+
+    def offer(batches):
+        """Sketches of candidates, to the bands that they share."""
+        home, parts = None, []
+        for batch in batches:
+            for data, own in zip(batch.column("data").to_pylist(), batch.column("home").to_pylist()):
+                home = own or home
+                parts += [blocks.unpack(data, ["<u4", "u1"])] if data is not None else []
+        if home is None or not parts:
+            return
+        ids, keys, sketch = blocks.unpack(home, state)
+        keys, sketch = keys.view("<u8").reshape(len(ids), BANDS), sketch.view("<u8").reshape(len(ids), BITS // 64)
+        row, band = (np.concatenate(c) for c in zip(*parts))
+        box = blocks.Outbox(n)
+        for lo in range(0, len(row), 200_000):
+            r = row[lo : lo + 200_000].astype(np.int64)
+            key = keys[r, band[lo : lo + 200_000]]
+            yield from box.add(blocks.by_hash(key, n), key, ids[r], *np.ascontiguousarray(sketch[r].T))
         yield from box.flush()
 
     def verify(batches):
@@ -242,6 +296,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
 
     ensure_checkpoint_dir(docs.sparkSession)
     docs = repeats.documents(docs, id_col, text_col).select("id", "text")
-    pairs = blocks.send(docs, sign, n).mapInArrow(verify, "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
+    home = blocks.send(docs, sign, n).mapInArrow(keep, "pid INT, data BINARY, home BINARY").checkpoint()
+    candidates = blocks.send(blocks.send(home, ask, n), shared, n).select("pid", "data", F.lit(None).cast("binary").alias("home")).union(home)
+    pairs = blocks.send(candidates.repartitionById(n, "pid"), offer, n).mapInArrow(verify, "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
     edges = pairs.where("certain").select("u", "v").union(_verified(docs, pairs.where("NOT certain AND u <> v").select("u", "v"), threshold))
     return connected_components(edges).withColumnsRenamed({"node": "doc_id", "component": "group_id"})
