@@ -207,11 +207,29 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, time_bucket(INTERVAL 10 MINUTE, ts) ORDER BY ts, event_id) = 1")
-def dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of a user and type in each ten minutes (extension)."""
     return windows.first_in_bucket(table(spark, sf_dir, "events"), ["user_id", "event_type"], "10 minutes").select("event_id")
 
 
+@query("""
+WITH RECURSIVE nxt AS (SELECT e.user_id, e.event_type, e.event_id, e.ts, (SELECT min(struct_pack(t := f.ts, i := f.event_id)) FROM events f WHERE f.user_id = e.user_id AND f.event_type = e.event_type AND f.ts > e.ts + INTERVAL 6 HOUR) AS ahead FROM events e),
+kept AS (SELECT event_id, ahead FROM nxt QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 UNION ALL SELECT nxt.event_id, nxt.ahead FROM kept JOIN nxt ON nxt.event_id = kept.ahead.i)
+SELECT event_id FROM kept
+""")
+def dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user and type but for those within six hours of the one kept before (extension)."""
+    return windows.dedup(table(spark, sf_dir, "events"), ["user_id", "event_type"], "6 hours").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'click') OR user_id % 7 = 0")
+def stream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with one of the words asked for, each once; the same plan runs on a stream."""
+    words = F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")))
+    vocabulary = spark.createDataFrame([("purchase",), ("click",), ("u0",)], "word STRING")
+    return windows.probe_stream(table(spark, sf_dir, "events").withColumn("ws", words), vocabulary, "ws", ["event_id"])
+
+
 @query("SELECT CAST(props ->> 'k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by a field of their properties (section 2.J)."""

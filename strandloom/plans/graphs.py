@@ -100,7 +100,17 @@ def debruijn_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.kmer_graph(table(spark, sf_dir, "part"), F.col("p_name"), 5)[1]
 
 
-@query()
+@query("""
+WITH RECURSIVE k AS (SELECT p_partkey, i, p_name[i + 1:i + 5] AS kmer FROM part, unnest(range(length(p_name) - 4)) u(i)),
+n AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer), l AS (SELECT DISTINCT a.kmer AS a, b.kmer AS b FROM k a JOIN k b ON a.p_partkey = b.p_partkey AND b.i = a.i + 1),
+o AS (SELECT a, min(b) AS b FROM l GROUP BY a HAVING count(*) = 1), i AS (SELECT b FROM l GROUP BY b HAVING count(*) = 1), only_ AS (SELECT o.a, o.b FROM o JOIN i ON o.b = i.b WHERE o.a <> o.b),
+walk AS (SELECT kmer AS start, kmer AS node, kmer AS txt, cnt AS total, 1 AS k FROM n WHERE kmer NOT IN (SELECT b FROM only_)
+  UNION ALL SELECT start, only_.b, txt || right(only_.b, 1), total + n.cnt, k + 1 FROM walk JOIN only_ ON walk.node = only_.a JOIN n ON n.kmer = only_.b),
+ring AS (SELECT kmer AS start, kmer AS node, kmer AS least_, left(kmer, 1) AS txt, cnt AS total, 1 AS k FROM n WHERE kmer NOT IN (SELECT node FROM walk)
+  UNION ALL SELECT start, only_.b, least(least_, only_.b), txt || left(only_.b, 1), total + n.cnt, k + 1 FROM ring JOIN only_ ON ring.node = only_.a JOIN n ON n.kmer = only_.b WHERE only_.b <> start)
+SELECT txt AS contig, CAST(length(txt) AS INTEGER) AS len, total / k AS cov, false AS circular FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY k DESC) = 1
+UNION ALL SELECT txt, CAST(length(txt) AS INTEGER), total / k, true FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY k DESC) AS nth FROM ring) WHERE nth = 1 AND start = least_
+""")
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unbranched runs of the k-mer graph of names."""
     return graph.contigs(*graph.kmer_graph(table(spark, sf_dir, "part"), F.col("p_name"), 5))
@@ -109,14 +119,25 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOUR = [("L", True, "R", False), ("R", True, "S", False), ("S", True, "R", True), ("R", False, "L", False)]
 
 
-@query()
+@query("""
+SELECT 'L' || s_suppkey AS component, CAST(p AS INTEGER) AS path_id, 2.0::DOUBLE AS score, 1 AS pattern FROM supplier, unnest(range(2)) u(p) WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT 'L' || s_suppkey, 0, 0.0, 1 FROM supplier WHERE s_suppkey % 3 = 0
+""")
 def circular_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Circles through a four-part graph, ranked by how far copies of a vertex lie apart."""
-    edges = spark.createDataFrame([(*e, 0) for e in _FOUR], "v1 STRING, e1 BOOLEAN, v2 STRING, e2 BOOLEAN, overlap INT")
-    vertices = spark.createDataFrame([("L", 1.1), ("R", 2.2), ("S", 0.9)], "v STRING, float_copy DOUBLE")
-    comp = graph.clusters(vertices, edges)
-    found = paths.circular_paths_of(solve.solve_components(vertices, edges, comp), edges, comp)
-    return paths.rank_paths(found)
+    """Circles through a small graph for each supplier, ranked by how far copies of a vertex lie apart.
+
+    Two of three have four parts, of which one is there twice, mirrored; the others are plain rings of three.
+    """
+    c = table(spark, sf_dir, "supplier")
+    name = lambda letter: F.concat(F.lit(letter), F.col("s_suppkey").cast("string"))
+    ring = [("L", True, "R", False), ("R", True, "S", False), ("S", True, "L", False)]
+    link = lambda es: F.array(*[F.struct(name(a).alias("v1"), F.lit(x).alias("e1"), name(b).alias("v2"), F.lit(y).alias("e2"), F.lit(0).alias("overlap")) for a, x, b, y in es])
+    four = F.col("s_suppkey") % 3 != 0
+    edges = c.select(F.explode(F.when(four, F.concat(link(_FOUR[:3]), link(_FOUR[3:]))).otherwise(link(ring))).alias("e")).select("e.*")
+    depth = c.select(F.explode(F.array(F.struct(name("L").alias("v"), F.lit(1.1).alias("float_copy")), F.struct(name("R").alias("v"), F.when(four, 2.2).otherwise(1.2).alias("float_copy")), F.struct(name("S").alias("v"), F.lit(0.9).alias("float_copy")))).alias("x")).select("x.*")
+    comp = graph.clusters(depth, edges)
+    found = paths.circular_paths_of(solve.solve_components(depth, edges, comp), edges, comp)
+    return paths.rank_paths(found, ["component"])
 
 
 @query()

@@ -45,20 +45,33 @@ def first_in_bucket(events: DataFrame, keys: list[str], width: str, ts: str = "t
     return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def dedup(events: DataFrame, keys: list[str], watermark: str, ts: str = "ts") -> DataFrame:
-    """One row of each key within the watermark; on a stream, state lives no longer than that."""
+def dedup(events: DataFrame, keys: list[str], watermark: str, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """The first row of each key, and each later one that comes more than the watermark after the one kept before it.
+
+    On a stream, state lives no longer than the watermark. In batch, rows go by time, then by
+    id_col; a key's times are one array, folded in the JVM.
+    """
     if events.isStreaming:
         return _late(events, ts, watermark).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    at = F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i"))
+    none = F.array().cast(f"array<struct<t:{dict(events.dtypes)[ts]},i:{dict(events.dtypes)[id_col]}>>")
+    late = F.expr(f"INTERVAL {watermark}")
+    keep = lambda a, x: F.when((F.size(a) == 0) | (x["t"] > F.element_at(a, -1)["t"] + late), F.array_append(a, x)).otherwise(a)
+    kept = events.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("__all")).select(F.explode(F.aggregate("__all", none, keep)).alias("__k"))
+    return events.join(kept.select(F.col("__k.i").alias(id_col)), id_col, "left_semi").select(*events.columns)
 
 
-def probe_stream(rows: DataFrame, vocabulary: DataFrame, words: str, id_cols: list[str]) -> DataFrame:
-    """Rows of a stream with a word of a fixed vocabulary: a stream-static semi-join.
+def probe_stream(rows: DataFrame, vocabulary: DataFrame, words: str, id_cols: list[str], watermark: str | None = None, ts: str = "ts") -> DataFrame:
+    """Rows of a stream with a word of a fixed vocabulary, each once: a stream-static semi-join.
 
-    rows: words is the name of an array column.
+    rows: words is the name of an array column. A row's hits are one row by its id_cols; on
+    a stream that takes a watermark, or state for every row that hit.
     """
-    probed = rows.withColumn("word", F.explode(words))
-    return probed.join(vocabulary.select("word").distinct(), "word", "left_semi").select(*id_cols)
+    probed = _late(rows, ts, watermark).withColumn("word", F.explode(F.array_distinct(words)))
+    hit = probed.join(vocabulary.select("word").distinct(), "word", "left_semi")
+    if rows.isStreaming and watermark:
+        return hit.dropDuplicatesWithinWatermark(id_cols).select(*id_cols)
+    return hit.select(*id_cols).dropDuplicates()
 
 
 def quiet_gaps(events: DataFrame, seconds: int, key: str = "user_id", ts: str = "ts") -> DataFrame:

@@ -35,6 +35,16 @@ def test_probes_of_a_stream(spark, sf, tmp_path):
     assert live.count() == spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").count()
 
 
+def test_a_row_with_several_hits_comes_once(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, ["b"])], "event_id int, ws array<string>")
+    assert rows(windows.probe_stream(df, spark.createDataFrame([("a",), ("b",), ("b",)], "word string"), "ws", ["event_id"])) == [(1,), (3,)]
+
+
+def test_dedup_in_batch_keeps_the_first(spark):
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", 50), (3, "a", 60), (4, "a", 61), (5, "a", 121), (6, "a", 122), (7, "b", 5), (8, "b", 5)], "event_id int, k string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r[0] for r in rows(windows.dedup(df, ["k"], "60 seconds"), "event_id")] == [1, 4, 6, 7]
+
+
 def test_gaps_of_a_stream_equal_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     days = sorted(r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().collect())
