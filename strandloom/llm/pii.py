@@ -1,14 +1,16 @@
 """Operator 10: personal data by a character-level BiLSTM with CRF transitions.
 
 The model is trained here, in numpy, from texts whose spans are known because a
-seeded generator wrote them.  Characters are bytes; all bytes above 127 are one
-symbol.  The gates are hard sigmoids and the squashing is a hard tanh, so a step is
+seeded generator wrote them.  Characters are bytes; those above 127 are four symbols, by
+what UTF-8 uses them for.  The gates are hard sigmoids and the squashing is a hard tanh, so a step is
 a small matrix product and a few clips over thousands of windows at once.
 
 A column's text is laid out as one stream with a separator between rows and cut into
 windows that overlap by CONTEXT characters on both sides.  Each window is decoded by
-Viterbi's algorithm; where windows overlap, the path of the one in whose core a
-character lies counts, and spans are then read off the whole stream, so that a span
+Viterbi's algorithm.  Where two windows overlap their paths are compared: the change from
+one to the other is made where both are in the same state, at the place nearest the
+seam, so that what is pasted is a path again; where they nowhere agree, the window that is
+surer of its path there counts.  Spans are then read off the whole stream, so that a span
 across a seam is one span and none crosses a row's end.
 """
 
@@ -26,17 +28,18 @@ from . import flat, repeats
 
 LABELS = ("none", "email", "phone", "ip", "card", "secret")
 #: Size of a symbol's embedding; hidden units of each direction; length and number of the training texts; texts of a step; steps; seed.
-EMBEDDING, HIDDEN, LENGTH, TEXTS, BATCH, STEPS, SEED = 10, 12, 96, 16_000, 128, 900, 7
+EMBEDDING, HIDDEN, LENGTH, TEXTS, BATCH, STEPS, SEED = 10, 16, 96, 24_000, 128, 1400, 7
 #: Core of a window and the context that it overlaps with its neighbours, in characters.
 CORE, CONTEXT = 768, 64
 #: Least characters of a span, by label: what is shorter can't be one.
-LEAST = np.array([0, 6, 9, 7, 13, 12])
-SYMBOLS = 130
-SEPARATOR = 129
+LEAST = np.array([0, 6, 7, 7, 13, 5])
+SYMBOLS = 133
+SEPARATOR = 132
 
 SCHEMA = "doc_id LONG, kind STRING, start_char INT, n_chars INT"
 
-_SYMBOL = np.minimum(np.arange(256), 128).astype(np.uint8)
+#: ASCII as it is; then bytes that go on, and leads of two, three and four bytes.
+_SYMBOL = np.concatenate([np.arange(128), np.full(64, 128), np.full(32, 129), np.full(16, 130), np.full(16, 131)]).astype(np.uint8)
 
 
 # ---- labelled texts -------------------------------------------------------
@@ -58,34 +61,85 @@ def _digits(rng: random.Random, n: int) -> str:
     return "".join(rng.choice(string.digits) for _ in range(n))
 
 
+def _some(rng: random.Random, chars: str, n: int) -> str:
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+_LETTERS, _ALNUM = string.ascii_letters, string.ascii_letters + string.digits
+
+
+def _plain(rng: random.Random) -> str:
+    return _word(rng).strip(",.;:?!\n").lower()
+
+
+def _email(rng: random.Random) -> str:
+    first = _plain(rng) + rng.choice((".", "_", "-", "", "+")) + (_digits(rng, rng.choice((1, 2, 2, 3, 4))) if rng.random() < 0.6 else _plain(rng))
+    made = rng.random()
+    if made < 0.4:
+        host = rng.choice((f"mail{rng.randrange(10)}.example", "mail.example", "post.test", f"host{rng.randrange(100)}", "web"))
+    elif made < 0.6:
+        host = rng.choice(("gmail", "outlook", "yahoo", "mail", "proton", "corp", "uni"))
+    else:
+        host = "".join(c for c in _plain(rng) if c.isascii()) + rng.choice(("", "", ".dept", "-lab"))
+    return (first.capitalize() if rng.random() < 0.1 else first) + "@" + (host or "x") + rng.choice((".com", ".org", ".net", ".de", ".co.uk", ".io", ".edu", ".fr"))
+
+
+def _phone(rng: random.Random) -> str:
+    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    return rng.choice((
+        f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randrange(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}", f"0{_digits(rng, 2)} {_digits(rng, 4)} {c}", f"0{_digits(rng, 3)}-{_digits(rng, 6)}",
+        f"{b}-{c}", f"+{rng.randrange(10, 99)}{_digits(rng, 10)}", f"+{rng.randrange(10, 99)} (0){_digits(rng, 2)} {_digits(rng, 3)} {c}", f"1-{a}-{b}-{c}",
+    ))
+
+
+def _address(rng: random.Random) -> str:
+    if rng.random() < 0.15:
+        groups = [f"{rng.randrange(65536):x}" for _ in range(rng.choice((3, 4, 8)))]
+        return ":".join(groups) if len(groups) == 8 else "2001:" + ":".join(groups) + "::" + f"{rng.randrange(4096):x}"
+    return ".".join(str(rng.randrange(rng.choice((10, 100, 256, 256, 256)))) for _ in range(4))
+
+
+def _card(rng: random.Random) -> str:
+    d = rng.choice("3456") + _digits(rng, 15)
+    return rng.choice((d, d, d, " ".join((d[:4], d[4:8], d[8:12], d[12:])), "-".join((d[:4], d[4:8], d[8:12], d[12:]))))
+
+
+def _secret(rng: random.Random) -> tuple[int, str, str, str]:
+    hexa = _some(rng, "0123456789abcdef", rng.choice((16, 18, 18, 24, 32, 40, 40, 40)))
+    kind = rng.randrange(10)
+    if kind < 2:
+        return 5, "", "AKIA" + _some(rng, string.ascii_uppercase + string.digits, 16), ""
+    if kind < 4:
+        return 5, rng.choice(("token", "token", "key", "secret")) + rng.choice((' = "', ' = "', '="')), hexa, '"'
+    if kind < 6:
+        return 5, rng.choice(("password", "password", "passwd", "pwd", "api_key")) + rng.choice(("=", "=", ": ")), hexa, ""
+    if kind == 6:
+        word = _some(rng, _LETTERS, rng.randrange(4, 9)) + _some(rng, "!$%&?_-" + string.digits, rng.randrange(1, 4)) + _some(rng, _ALNUM, rng.randrange(0, 6))
+        return 5, rng.choice(("password", "Password", "passwd", "pwd", "pass")) + rng.choice(("=", ": ", " is ", ":")), word, ""
+    if kind == 7:
+        return 5, rng.choice(("", "key ", "token: ")), rng.choice(("sk-", "sk_live_", "ghp_", "xoxb-", "pk_", "glpat-")) + _some(rng, _ALNUM, rng.choice((20, 24, 32, 36))), ""
+    if kind == 8:
+        part = lambda n: _some(rng, _ALNUM + "_-", n)
+        return 5, rng.choice(("Bearer ", "bearer ", "jwt=")), f"eyJ{part(12)}.eyJ{part(16)}.{part(14)}", ""
+    return 5, rng.choice(("secret_access_key = ", "secret key: ", "aws_secret=", "client_secret=")), _some(rng, _ALNUM + "+/", 40), ""
+
+
 def _personal(rng: random.Random) -> tuple[int, str, str, str]:
     """(label, text before, value, text after)"""
     kind = rng.randrange(1, 8)
-    if kind == 1:
-        name = _word(rng).strip(",.;:?!\n").lower() + rng.choice((".", "_", "-", "")) + (_digits(rng, rng.choice((1, 2, 2, 3))) if rng.random() < 0.7 else _word(rng).strip(",.;:?!\n").lower())
-        host = rng.choice((f"mail{rng.randrange(10)}.example", "mail.example", "post.test", f"host{rng.randrange(100)}", "web")) + rng.choice((".com", ".org", ".net", ".de", ".co.uk"))
-        return 1, "", name + "@" + host, ""
-    if kind == 2:
-        a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-        form = rng.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randrange(1, 99)} {a} {b} {c}"))
-        return 2, "", form, ""
-    if kind == 3:
-        return 3, "", ".".join(str(rng.randrange(rng.choice((10, 100, 256, 256, 256)))) for _ in range(4)), ""
-    if kind == 4:
-        d = _digits(rng, 16)
-        return 4, "", rng.choice((d, d, d, " ".join((d[:4], d[4:8], d[8:12], d[12:])), "-".join((d[:4], d[4:8], d[8:12], d[12:])))), ""
-    if kind == 5:
-        return 5, "", "AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16)), ""
-    value = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 18, 24, 32, 40, 40, 40))))
-    if kind == 6:
-        return 5, rng.choice(("token", "token", "key", "secret")) + rng.choice((' = "', ' = "', '="')), value, '"'
-    return 5, rng.choice(("password", "password", "passwd", "pwd", "api_key")) + rng.choice(("=", "=", ": ")), value, ""
+    if kind > 4:
+        return _secret(rng)
+    value = (_email, _phone, _address, _card)[kind - 1](rng)
+    before = rng.choice(("", "", "", "", "tel ", "ip=", "mail: ", "card ", "<", "at ", "call ", "(", "host ")) if rng.random() < 0.5 else ""
+    return kind, before, value, ">" if before == "<" else ")" if before == "(" else ""
 
 
 def _harmless(rng: random.Random) -> str:
     return rng.choice((
         f"version {rng.randrange(10)}.", f"Version {rng.randrange(10)}.{rng.randrange(10)}.", f"CC BY-NC {rng.randrange(5)}.0.", f"{rng.randrange(1900, 2100)}", f"{rng.randrange(1, 32)}.{rng.randrange(1, 13)}.{rng.randrange(1990, 2030)}",
         f"{rng.randrange(2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{rng.randrange(24)}:{rng.randrange(60):02d}", f"${rng.randrange(1000)}.{rng.randrange(100):02d}", f"{rng.randrange(100)}%", str(rng.randrange(10 ** rng.randrange(1, 10))),
+        f"released {rng.randrange(12)}.{rng.randrange(20)}.{rng.randrange(40)}.{rng.randrange(10)}", f"version {rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(40)}.{rng.randrange(100)}", f"v{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(30)}.{rng.randrange(9)}",
+        f"order {_digits(rng, rng.choice((8, 10, 12, 16)))}", f"invoice {_digits(rng, rng.choice((6, 12, 16)))}", f"id {_digits(rng, rng.choice((5, 9, 16)))}", f"password {_plain(rng)}", f"the {rng.choice(('password', 'token', 'secret', 'key'))} is {_plain(rng)}ed", f"pages {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}",
         f"{rng.randrange(1000)},{rng.randrange(1000):03d}", "AKIA", "ATOM BETA", "a = b", 'said "so"', "token", "password", "(see below)", "x@", "@home", "C++ #1", "1.2.3", "10/12", f"{rng.randrange(10)}.{rng.randrange(100)}", "LICENSED UNDER THE", "https://www.example.com/en/12",
     ))
 
@@ -318,9 +372,13 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return path
 
 
-def best_score(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The score of the best path of each window, from emissions (T, labels, B)."""
-    score, by = e[0].astype(np.float64), trans.astype(np.float64)[:, :, None]
+def best_score(e: np.ndarray, trans: np.ndarray, only: int | None = None) -> np.ndarray:
+    """The score of the best path of each window, from emissions (T, labels, B), or that of one label throughout, added up in the same order."""
+    by = trans.astype(np.float64)
+    if only is not None:
+        e, by = e[:, only : only + 1], by[only : only + 1, only : only + 1]
+    by = by[:, :, None]
+    score = e[0].astype(np.float64)
     step = np.empty((len(by), *score.shape))
     for t in range(1, len(e)):
         np.add(score[:, None, :], by, out=step)
@@ -329,6 +387,28 @@ def best_score(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return score.max(axis=0)
 
 
+def reconciled(path: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """One path over the stream from the windows' (T, B), whose last and first 2 * CONTEXT characters are the same.
+
+    From each window to the next the change is where both have the same label, nearest the
+    seam (the left place of two); if they have nowhere, all of the overlap is the one's that is
+    surer, by sure (T, B), the margin of a character's label over "none" or the other way round.
+    """
+    both = 2 * CONTEXT
+    left, right = path[CORE:, :-1], path[:both, 1:]
+    order = np.argsort(np.abs(np.arange(both) - CONTEXT), kind="stable")
+    agree = (left == right)[order]
+    found = agree.any(axis=0)
+    surer = sure[CORE:, :-1].sum(axis=0) >= sure[:both, 1:].sum(axis=0)
+    cut = np.where(found, order[agree.argmax(axis=0)], np.where(surer, both, 0))
+    out = path[CONTEXT : CONTEXT + CORE].copy()
+    # the second half of an overlap lies in the right window's core, the first in the left one's
+    at = np.arange(CONTEXT)[:, None]
+    out[:CONTEXT, 1:] = np.where(at + CONTEXT < cut, left[CONTEXT:], out[:CONTEXT, 1:])
+    out[CORE - CONTEXT :, :-1] = np.where(at >= cut, right[:CONTEXT], out[CORE - CONTEXT :, :-1])
+    return out
+
+
 def labels(w: dict, symbols: np.ndarray) -> np.ndarray:
     """The label of each symbol of a stream."""
     size = len(symbols)
@@ -337,16 +417,21 @@ def labels(w: dict, symbols: np.ndarray) -> np.ndarray:
     padded[CONTEXT : CONTEXT + size] = symbols
     windows = np.lib.stride_tricks.sliding_window_view(padded, CORE + 2 * CONTEXT)[::CORE].T
     e = emissions(w, np.ascontiguousarray(windows))
-    # only where the best path beats that of "none" alone has it to be traced back
-    open_ = np.flatnonzero(best_score(e, w["trans"]) > e[:, 0].sum(axis=0, dtype=np.float64) + (len(e) - 1) * float(w["trans"][0, 0]) + 1e-2)
-    path = np.zeros(windows.shape, np.uint8)
+    # a window whose best path is no better than "none" throughout has that path, and needn't be traced back
+    open_ = np.flatnonzero(best_score(e, w["trans"]) > best_score(e, w["trans"], only=0))
+    path, sure = np.zeros(windows.shape, np.uint8), np.zeros((1, count), np.float32)
     if len(open_):
-        path[:, open_] = viterbi(e[:, :, open_].transpose(0, 2, 1), w["trans"])
+        found = e[:, :, open_].transpose(0, 2, 1)
+        path[:, open_] = viterbi(found, w["trans"])
+    if count > 1 and len(open_):
+        own = np.take_along_axis(e, path[:, None, :].astype(np.int64), axis=1)[:, 0]
+        sure = own - np.where(path == 0, e[:, 1:].max(axis=1), e[:, 0])
+        return np.ascontiguousarray(reconciled(path, sure).T).reshape(-1)[:size]
     return np.ascontiguousarray(path[CONTEXT : CONTEXT + CORE].T).reshape(-1)[:size]
 
 
 #: What a span of a label must hold: one of these bytes, so many times.
-_NEEDS = ((b"", 0), (b"@", 1), (b"0123456789", 7), (b".", 3), (b"0123456789", 13), (b"0123456789", 1))
+_NEEDS = ((b"", 0), (b"@", 1), (b"0123456789", 7), (b".:", 3), (b"0123456789", 13), (bytes(x for x in range(33, 127) if not 97 <= x <= 122), 1))
 
 
 def plausible(data: np.ndarray, label: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
