@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..operators.sizes import small_side
-from . import flat
+from . import flat, repeats
 
 #: Greatest share of good documents of a stratum that may be rejected, and the chance that any stratum breaks it.
 ALPHA, DELTA = 0.1, 0.1
@@ -108,7 +107,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, str
     """(stratum, quality, one column for each rule) of the labelled documents; only those are scored."""
     told = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return some.join(small_side(told), "id").select("stratum", "quality", scores(F.col("text")).alias("score")).select("stratum", "quality", "score.*")
+    # scored where they are, so that no text is shuffled; rows that the bitmap lets through by chance go in the join
+    scored = repeats.only_named(some, ["id"], told, ["id"]).select("id", "stratum", scores(F.col("text")).alias("score"))
+    return scored.join(told, "id").select("stratum", "quality", "score.*")
 
 
 def cutoffs(scored: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
