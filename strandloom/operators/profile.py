@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strings
+from .components import ensure_checkpoint_dir
 
 #: Quality encodings: name, least and greatest character, offset of score 0.
 ENCODINGS = (("sanger", 33, 73, 33), ("solexa", 59, 104, 64), ("illumina_1_3", 64, 104, 64), ("illumina_1_5", 67, 105, 64), ("illumina_1_8", 33, 74, 33))
@@ -32,7 +33,9 @@ def every_kth(rows: DataFrame, k: int, order: list[str], keys: list[str] | None
         n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("__n", n).where(F.col("__n") % k == 0).drop("__n")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1))
+    # written once: ranges are made from a sample, and made again they need not be the same
+    ensure_checkpoint_dir(rows.sparkSession)
+    part = ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1)).checkpoint()
     sizes = part.groupBy("__part").agg(F.count("*").alias("c")).withColumn("__before", F.coalesce(F.sum("c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return part.join(sizes, "__part").where((F.col("__before") + F.col("__i") + 1) % k == 0).select(*rows.columns)
 
