@@ -28,7 +28,7 @@ from . import flat, repeats
 
 LABELS = ("none", "email", "phone", "ip", "card", "secret")
 #: Size of a symbol's embedding; hidden units of each direction; length and number of the training texts; texts of a step; steps; seed.
-EMBEDDING, HIDDEN, LENGTH, TEXTS, BATCH, STEPS, SEED = 10, 16, 96, 24_000, 128, 1400, 7
+EMBEDDING, HIDDEN, LENGTH, TEXTS, BATCH, STEPS, SEED = 10, 16, 96, 24_000, 128, 1600, 7
 #: Core of a window and the context that it overlaps with its neighbours, in characters.
 CORE, CONTEXT = 768, 64
 #: Least characters of a span, by label: what is shorter can't be one.
@@ -88,7 +88,7 @@ def _phone(rng: random.Random) -> str:
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
     return rng.choice((
         f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randrange(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}", f"0{_digits(rng, 2)} {_digits(rng, 4)} {c}", f"0{_digits(rng, 3)}-{_digits(rng, 6)}",
-        f"{b}-{c}", f"+{rng.randrange(10, 99)}{_digits(rng, 10)}", f"+{rng.randrange(10, 99)} (0){_digits(rng, 2)} {_digits(rng, 3)} {c}", f"1-{a}-{b}-{c}",
+        f"{b}-{c}", f"{b}-{c}", f"+{rng.randrange(10, 99)}{_digits(rng, 10)}", f"+{rng.randrange(10, 99)} (0){_digits(rng, 2)} {_digits(rng, 3)} {c}", f"1-{a}-{b}-{c}",
     ))
 
 
@@ -130,7 +130,7 @@ def _personal(rng: random.Random) -> tuple[int, str, str, str]:
     if kind > 4:
         return _secret(rng)
     value = (_email, _phone, _address, _card)[kind - 1](rng)
-    before = rng.choice(("", "", "", "", "tel ", "ip=", "mail: ", "card ", "<", "at ", "call ", "(", "host ")) if rng.random() < 0.5 else ""
+    before = rng.choice(("", "", "", "", "tel ", "ip=", "mail: ", "card ", "<", "at ", "call ", "(", "host ", "server ", "the server ", "from ", "address ", "or ", "reach ")) if rng.random() < 0.6 else ""
     return kind, before, value, ">" if before == "<" else ")" if before == "(" else ""
 
 
@@ -167,16 +167,16 @@ def labelled(rng: random.Random) -> tuple[bytes, np.ndarray]:
     while len(text) < LENGTH + 60:
         put(rng.choice((" ", " ", " ", " ", " ", " ", "\n", "  ")) if rng.random() < 0.97 else "")
         r = rng.random()
-        if r < 0.16:
+        if r < 0.2:
             kind = _personal(rng)
             value_of(kind)
             if rng.random() < 0.12:
                 put(" ")
                 value_of(kind)
             put(rng.choice(("", "", "", ".", ",")))
-        elif r < 0.26:
+        elif r < 0.3:
             put(_harmless(rng))
-        elif r < 0.28:
+        elif r < 0.32:
             put("".join(rng.choice(string.ascii_uppercase) for _ in range(rng.randrange(3, 25))))
         else:
             put(_word(rng).upper() if upper or rng.random() < 0.03 else _word(rng))
@@ -209,9 +209,9 @@ def _forward(w: dict, symbols: np.ndarray) -> tuple[np.ndarray, list]:
     t_, b_ = symbols.shape
     n = w["h"].shape[1]
     both = np.stack([symbols, symbols[::-1]])
-    h = np.zeros((2, b_, n), np.float32)
+    h = np.zeros((2, b_, n), w["h"].dtype)
     c = np.zeros_like(h)
-    kept, hs = [], np.empty((t_, 2, b_, n), np.float32)
+    kept, hs = [], np.empty((t_, 2, b_, n), h.dtype)
     seen = w["emb"][both]
     x = seen @ w["x"][:, None] + w["b"][:, None]
     for t in range(t_):
@@ -259,15 +259,15 @@ def gradients(w: dict, symbols: np.ndarray, gold: np.ndarray) -> tuple[float, di
     loss, de, dtrans = _crf(e, w["trans"], gold)
     n = w["h"].shape[1]
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    g["trans"] = dtrans.astype(np.float32)
+    g["trans"] = dtrans.astype(w["trans"].dtype)
     g["bias"] = de.sum(axis=(0, 1))
     back = de[::-1]
     g["out"][0] = np.einsum("tbh,tbk->hk", hs[:, 0], de)
     g["out"][1] = np.einsum("tbh,tbk->hk", hs[:, 1], back)
     dh_all = np.stack([de @ w["out"][0].T, back @ w["out"][1].T], axis=1)
-    dh = np.zeros((2, symbols.shape[1], n), np.float32)
+    dh = np.zeros((2, symbols.shape[1], n), w["h"].dtype)
     dc = np.zeros_like(dh)
-    dx = np.empty((2, *symbols.shape, 4 * n), np.float32)
+    dx = np.empty((2, *symbols.shape, 4 * n), dh.dtype)
     for t in range(len(kept) - 1, -1, -1):
         z, gate, cand, before, c, squashed, h_before = kept[t]
         dh = dh + dh_all[t]
