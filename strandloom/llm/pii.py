@@ -100,7 +100,8 @@ def _address(rng: random.Random) -> str:
 
 
 def _card(rng: random.Random) -> str:
-    d = rng.choice("3456") + _digits(rng, 15)
+    d = (rng.choice("3456") if rng.random() < 0.5 else "") + _digits(rng, 16)
+    d = d[:16]
     return rng.choice((d, d, d, " ".join((d[:4], d[4:8], d[8:12], d[12:])), "-".join((d[:4], d[4:8], d[8:12], d[12:]))))
 
 
