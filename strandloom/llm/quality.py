@@ -107,9 +107,13 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, str
     """(stratum, quality, one column for each rule) of the labelled documents; only those are scored."""
     told = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    # scored where they are, so that no text is shuffled; rows that the bitmap lets through by chance go in the join
-    scored = repeats.only_named(some, ["id"], told, ["id"]).select("id", "stratum", scores(F.col("text")).alias("score"))
-    return scored.join(told, "id").select("stratum", "quality", "score.*")
+    # scored where they are, so that no text is shuffled, and by the worker that picks them; rows that the bitmap lets through by chance go in the join
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = measure(batch.column(2))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[rule]) for rule in GRID)], names=["id", "stratum", *GRID])
+
+    scored = repeats.only_named(some, ["id"], told, ["id"], score, ", ".join(["id LONG", "stratum STRING", *(f"{rule} DOUBLE" for rule in GRID)]))
+    return scored.join(told, "id").select("stratum", "quality", *GRID)
 
 
 def cutoffs(scored: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:

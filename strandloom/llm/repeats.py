@@ -9,6 +9,8 @@ about 2 of 32 positions, and only those whose k-gram occurs at two places remain
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,8 +124,8 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
     return few.join(places, ["id", "of"]).select("id", "text", "places", "of")
 
 
-def only_named(docs: DataFrame, columns: list[str], named: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of docs whose columns may be among those of named, so that a join with it needn't shuffle the others.
+def only_named(docs: DataFrame, columns: list[str], named: DataFrame, by: list[str], then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """The rows of docs, or what ``then`` makes of them in the same worker, whose columns may be among those of named, so that a join with it needn't shuffle the others.
 
     A bitmap over hashes says so, of fixed size: where it fills up, rows that no one named
     pass too, and cost shuffle only.
@@ -137,9 +139,10 @@ def only_named(docs: DataFrame, columns: list[str], named: DataFrame, by: list[s
     def pick(batches):
         for batch in batches:
             b = batch.column(len(kept)).to_numpy(zero_copy_only=False)
-            yield batch.select(range(len(kept))).filter(pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1))
+            some = batch.select(range(len(kept))).filter(pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1))
+            yield then(some) if then else some
 
-    return docs.withColumn("bit", bit(columns)).mapInArrow(pick, docs.schema)
+    return docs.withColumn("bit", bit(columns)).mapInArrow(pick, schema or docs.schema)
 
 
 def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, length: int) -> np.ndarray:
