@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import flat
+
 WIRE = "pid INT, data BINARY"
 _SCHEMA = pa.schema([("pid", pa.int32()), ("data", pa.binary())])
 #: Bytes that a task holds before it emits them.
@@ -84,14 +86,12 @@ def gather(batches: Iterable[pa.RecordBatch], kinds: list[str]) -> list[np.ndarr
 
 def send(df: DataFrame, fn: Callable, n: int) -> DataFrame:
     """Run fn (Arrow batches to packed batches) and bring each payload to its partition."""
-    return df.mapInArrow(fn, WIRE).repartitionById(n, "pid")
+    return df.mapInArrow(flat.released(fn), WIRE).repartitionById(n, "pid")
 
 
 def by_id(ids: np.ndarray, n: int) -> np.ndarray:
     """The partition of each id."""
-    from .flat import mix
-
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n
+    return (flat.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64) % n
 
 
 def by_hash(values: np.ndarray, n: int) -> np.ndarray:

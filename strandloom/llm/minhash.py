@@ -192,7 +192,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
     some = repeats.only_named(docs, ["id"], pairs.select(F.explode(F.array("u", "v")).alias("id")), ["id"])
     found = pairs.join(some.withColumnsRenamed({"id": "u", "text": "x"}), "u").join(some.withColumnsRenamed({"id": "v", "text": "y"}), "v")
-    return found.select("u", "v", "x", "y").mapInArrow(exact, "u LONG, v LONG")
+    return found.select("u", "v", "x", "y").mapInArrow(flat.released(exact), "u LONG, v LONG")
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +296,8 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col:
 
     ensure_checkpoint_dir(docs.sparkSession)
     docs = repeats.documents(docs, id_col, text_col).select("id", "text")
-    home = blocks.send(docs, sign, n).mapInArrow(keep, "pid INT, data BINARY, home BINARY").checkpoint()
+    home = blocks.send(docs, sign, n).mapInArrow(flat.released(keep), "pid INT, data BINARY, home BINARY").checkpoint()
     candidates = blocks.send(blocks.send(home, ask, n), shared, n).select("pid", "data", F.lit(None).cast("binary").alias("home")).union(home)
-    pairs = blocks.send(candidates.repartitionById(n, "pid"), offer, n).mapInArrow(verify, "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
+    pairs = blocks.send(candidates.repartitionById(n, "pid"), offer, n).mapInArrow(flat.released(verify), "u LONG, v LONG, certain BOOLEAN").groupBy("u", "v").agg(F.max("certain").alias("certain")).checkpoint()
     edges = pairs.where("certain").select("u", "v").union(_verified(docs, pairs.where("NOT certain AND u <> v").select("u", "v"), threshold))
     return connected_components(edges).withColumnsRenamed({"node": "doc_id", "component": "group_id"})

@@ -31,6 +31,8 @@ SCHEMA = "doc_id LONG, ids ARRAY<INT>, n_tokens INT, exact BOOLEAN"
 _NONE = np.int32(2**31 - 1)
 #: Segments that a worker remembers between chunks, to save work only.
 REMEMBERED = 400_000
+#: Bytes of text that are encoded at once; a byte takes some 60 bytes of arrays.
+CHUNK_BYTES = 500_000
 
 
 class Model:
@@ -151,7 +153,7 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def _segments(self, unique: np.ndarray, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Learn segments (by hash) given one place of each in the code points cp."""
+        """Learn segments (by hash, in order, none of them known) given one place of each in the code points cp."""
         first = self.table[cp[start]]
         plain = first >= 0
         ids, counts = merge(self.model, self.table[cp[flat.spans(start[plain], size[plain])]], size[plain])
@@ -165,12 +167,11 @@ class Encoder:
         flat_ids[flat.spans(begin[plain], counts)] = ids
         if fallback:
             flat_ids[flat.spans(begin[strange], lengths[strange])] = np.concatenate(fallback)
-        known = np.concatenate([self.known, unique])
-        begin = np.concatenate([self.begin, begin + len(self.ids)])
-        lengths = np.concatenate([self.size, lengths])
+        at = np.searchsorted(self.known, unique)
+        self.begin = np.insert(self.begin, at, begin + len(self.ids))
+        self.size = np.insert(self.size, at, lengths)
+        self.known = np.insert(self.known, at, unique)
         self.ids = np.concatenate([self.ids, flat_ids])
-        order = np.argsort(known, kind="stable")
-        self.known, self.begin, self.size = known[order], begin[order], lengths[order]
 
     def _missing(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -238,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id",
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            for chunk in flat.chunks(batch.column(1)):
+            for chunk in flat.chunks(batch.column(1), CHUNK_BYTES):
                 ids, counts = encoder.encode(chunk)
                 data, size = decode(encoder.model, ids, counts)
                 told = np.zeros(len(counts), dtype=bool)
@@ -257,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id",
                     [batch.column(0).slice(int(chunk.rows[0]), len(counts)), lists, pa.array(counts, pa.int32(), mask=~valid), pa.array(told, mask=~valid)], names=["doc_id", "ids", "n_tokens", "exact"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(flat.released(run), SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -283,4 +284,4 @@ def decode_documents(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_i
                 texts = [bytes(data[bound[i] : bound[i + 1]]).decode("utf-8", "replace") if part[i].is_valid else None for i in range(len(part))]
                 yield pa.record_batch([batch.column(0).slice(lo, len(part)), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id LONG, text STRING")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(flat.released(run), "doc_id LONG, text STRING")

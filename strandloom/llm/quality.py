@@ -82,6 +82,7 @@ def scores(text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         found = measure(texts)
+        flat.release()
         return pa.StructArray.from_arrays([pa.array(found[rule]) for rule in GRID], names=list(GRID))
 
     # said to be non-deterministic, so that the planner doesn't evaluate it again in a filter

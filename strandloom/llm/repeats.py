@@ -142,7 +142,7 @@ def only_named(docs: DataFrame, columns: list[str], named: DataFrame, by: list[s
             some = batch.select(range(len(kept))).filter(pa.array((bitmap[b >> 6] >> (b & 63)) & 1 == 1))
             yield then(some) if then else some
 
-    return docs.withColumn("bit", bit(columns)).mapInArrow(pick, schema or docs.schema)
+    return docs.withColumn("bit", bit(columns)).mapInArrow(flat.released(pick), schema or docs.schema)
 
 
 def window_starts(places: np.ndarray, rows: np.ndarray, row_token: np.ndarray, length: int) -> np.ndarray:

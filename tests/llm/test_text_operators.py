@@ -311,6 +311,32 @@ def test_a_chunk_keeps_its_own_segments(monkeypatch):
         assert [x.tolist() for x in one.encode(chunk)] == [x.tolist() for x in pieces.Encoder().encode(chunk)]
 
 
+def test_encoding_takes_little_memory(monkeypatch):
+    """Arrays of a part of the batch at a time, and what they took is given back when the task ends."""
+    import tracemalloc
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, fn, schema: fn
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 3_000_000
+    given = []
+    monkeypatch.setattr(flat, "release", lambda: given.append(1))
+    run = pieces.encode_documents(Docs())
+    pieces.Encoder()
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 80e6 and given == [1]
+
+
 # ---- personal data --------------------------------------------------------
 
 
