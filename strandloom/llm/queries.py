@@ -25,8 +25,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of embeddings with a cosine of at least 0.95."""
-    return vectors.near_duplicate_pairs(_table(spark, sf_dir, "embeddings"))
+    """Every embedding with its class and the number of embeddings at a cosine of at least 0.95."""
+    return vectors.near_duplicate_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

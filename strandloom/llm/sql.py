@@ -27,11 +27,18 @@ g AS (SELECT *, word - row_number() OVER (PARTITION BY doc_id, later ORDER BY wo
 SELECT doc_id, CAST(min(word) AS INTEGER) AS start_word, CAST(count(*) AS INTEGER) AS n_words, later = 0 AS keep FROM g GROUP BY doc_id, later, run
 """
 
-EMBEDDING = """
-WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+#: Rows of a table of vectors with the least id that links lead to and the number of links; v: (vec_id, e).
+CLASSES = """
+WITH RECURSIVE v AS ({vectors}),
+t AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id IS NOT NULL)),
+p AS (SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) BETWEEN 0.95 AND 2),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+tie AS (SELECT a, b FROM p UNION SELECT a.r, b.r FROM t a JOIN t b USING (vec_id)),
+reach(r, other) AS (SELECT r, r FROM t UNION SELECT reach.r, tie.b FROM reach JOIN tie ON reach.other = tie.a),
+c AS (SELECT reach.r, min(t.vec_id) AS class_id FROM reach JOIN t ON reach.other = t.r GROUP BY reach.r)
+SELECT vec_id, class_id, coalesce(n, 0) AS n_links FROM t JOIN c USING (r) LEFT JOIN n ON t.r = n.a
 """
+EMBEDDING = CLASSES.format(vectors="SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
 
 NEAR_COPIES = """
 WITH b AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),

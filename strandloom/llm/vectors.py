@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import ensure_checkpoint_dir
+from ..operators.components import connected_components, ensure_checkpoint_dir
 from . import blocks, flat
 
 #: Least cosine of a pair; width of a projection's buckets; share of the pairs at the threshold that the tables are planned to find.
@@ -59,32 +59,27 @@ def normalised(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], v[good] / norm[good, None]
 
 
-def near_duplicate_pairs(
-    table: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
-    """(vec_id_a, vec_id_b, cosine) of the pairs a < b whose cosine is at least threshold, rounded to 6 places.
+def _rows(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL")
 
-    Each row is compared with all others of its length; a pair exactly at the threshold is found
-    with the planned recall and closer ones with more.  Vectors that are null, hold a
-    null, NaN or infinity, are zero or of no length have no pairs, and neither have two of unlike
-    lengths; K and L are planned for each length.  Rows without an id are left out; a row that is there twice counts
-    once; other columns are ignored.
 
-    Equal vectors, whatever their number, are hashed once: pairs are looked for between
-    distinct vectors and then named for all that have them.
-    """
+#: Vectors that hold something and no null.
+_FIT = "v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)"
+
+
+def _compared(table: DataFrame, threshold: float, width: float, recall: float, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Vectors by name, (x, y), with their rows: members (x, y, id); pairs of unlike vectors found near, (a, ya, b, yb, cosine), each once; those that several rows have, paired with themselves."""
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
     n = blocks.partitions(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").where((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    schema = "vec_id_a LONG, vec_id_b LONG, cosine DOUBLE"
+    rows = _rows(table, id_col, vector_col).where(_FIT)
     # a vector's name: two hashes of its values
     named = rows.select("id", "v", F.xxhash64("v").alias("x"), F.hash("v").alias("y"))
     members = named.select("x", "y", "id").distinct().checkpoint()
     one = named.dropDuplicates(["x", "y"]).select("x", "y", "v")
     plans = {r["d"]: plan(r["n"], threshold, width, recall) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     if not plans:
-        return spark.createDataFrame([], schema)
+        return None
 
     def hashed(batches):
         made = {}
@@ -155,6 +150,62 @@ def near_duplicate_pairs(
     # a vector that several rows have is near itself, if it can be compared at all
     several = members.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
     itself = one.join(several, ["x", "y"]).select(F.col("x").alias("a"), F.col("y").alias("ya"), F.col("x").alias("b"), F.col("y").alias("yb"), F.col("v").alias("u"), F.col("v").alias("w")).mapInArrow(exact, compared)
+    return members, found, itself
+
+
+def near_duplicate_pairs(
+    table: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """(vec_id_a, vec_id_b, cosine) of the pairs a < b whose cosine is at least threshold, rounded to 6 places.
+
+    Each row is compared with all others of its length; a pair exactly at the threshold is found
+    with the planned recall and closer ones with more.  Vectors that are null, hold a
+    null, NaN or infinity, are zero or of no length have no pairs, and neither have two of unlike
+    lengths; K and L are planned for each length.  Rows without an id are left out; a row that is there twice counts
+    once; other columns are ignored.
+
+    Equal vectors, whatever their number, are hashed once: pairs are looked for between
+    distinct vectors and then named for all that have them.
+    """
+    compared = _compared(table, threshold, width, recall, id_col, vector_col)
+    if compared is None:
+        return table.sparkSession.createDataFrame([], "vec_id_a LONG, vec_id_b LONG, cosine DOUBLE")
+    members, found, itself = compared
     names = lambda x, y, i: members.withColumnsRenamed({"x": x, "y": y, "id": i})
     told = lambda df, which: df.join(names("a", "ya", "i"), ["a", "ya"]).join(names("b", "yb", "j"), ["b", "yb"]).where(which).select(F.least("i", "j").alias("vec_id_a"), F.greatest("i", "j").alias("vec_id_b"), "cosine")
     return told(found, "i <> j").union(told(itself, "i < j"))
+
+
+def near_duplicate_classes(
+    table: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """(vec_id, class_id, n_links) of every row that has an id: as many rows as there are, however many pairs.
+
+    n_links counts the other rows whose cosine with this one is at least threshold, found as
+    near_duplicate_pairs finds them, all copies of a vector included; class_id is the least vec_id of the rows that such links connect.
+    A row that is there twice counts once; two vectors under one id are two
+    rows, of one class.  Vectors that can't be compared have no links.
+
+    Links are counted between distinct vectors, each weighted by its rows, so copies are
+    never expanded into pairs.
+    """
+    every = _rows(table, id_col, vector_col)
+    alone = every.where(f"NOT ({_FIT})").distinct().select("id", F.lit(0).cast("long").alias("n_links"))
+    compared = _compared(table, threshold, width, recall, id_col, vector_col)
+    if compared is None:
+        return alone.select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), "n_links")
+    members, found, itself = compared
+    found = found.select("a", "ya", "b", "yb").checkpoint()
+    itself = itself.select(F.col("a").alias("x"), F.col("ya").alias("y"), F.lit(True).alias("itself"))
+    per = members.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first")).checkpoint()
+    side = lambda x, y, *more: per.select(F.col("x").alias(x), F.col("y").alias(y), *more)
+    both = found.union(found.select("b", "yb", "a", "ya"))
+    near = both.join(side("b", "yb", "n"), ["b", "yb"]).groupBy(F.col("a").alias("x"), F.col("ya").alias("y")).agg(F.sum("n").alias("near"))
+    links = F.coalesce("near", F.lit(0)) + F.when(F.col("itself"), F.col("n") - 1).otherwise(0)
+    counted = per.join(near, ["x", "y"], "left").join(itself, ["x", "y"], "left").select("x", "y", "first", "itself", links.alias("n_links")).checkpoint()
+    # a vector is known by the least id that has it; the other rows of a comparable one are tied to that
+    named = found.join(side("a", "ya", F.col("first").alias("u")), ["a", "ya"]).join(side("b", "yb", F.col("first").alias("v")), ["b", "yb"]).select("u", "v")
+    tied = members.join(counted.where("itself"), ["x", "y"]).select(F.col("id").alias("u"), F.col("first").alias("v"))
+    classes = connected_components(named.union(tied)).withColumnRenamed("node", "id")
+    rows = members.join(counted, ["x", "y"]).select("id", "n_links").union(alone)
+    return rows.join(classes, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("component", "id").alias("class_id"), "n_links")

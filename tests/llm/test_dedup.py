@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import flat, minhash, repeats, rlz, suffix, vectors
 
@@ -319,6 +320,80 @@ def test_lengths_and_equal_vectors(spark):
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 2400
 
 
+def brute_classes(held, threshold=0.95):
+    """(id, class, links) of distinct (id, vector), each by comparing it with all others."""
+    held = sorted(set(held), key=str)
+    good = [np.array(x, float) if x and None not in x else np.zeros(1) for _, x in held]
+    good = [x / np.linalg.norm(x) if np.isfinite(x).all() and x.any() else None for x in good]
+    near = [[j for j in range(len(held)) if i != j and x is not None and good[j] is not None and len(good[j]) == len(x) and x @ good[j] >= threshold] for i, x in enumerate(good)]
+    label = {i: i for i, _ in held}
+    for _ in held:
+        before = dict(label)
+        for i, js in enumerate(near):
+            for j in js:
+                a, b = held[i][0], held[j][0]
+                label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    return sorted((i, label[i], len(js)) for (i, _), js in zip(held, near))
+
+
+def test_classes_equal_brute_force(spark):
+    """Copies, chains of neighbours, two vectors under one id, and vectors that can't be compared."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for dim in (8, 24):
+        base = rng.standard_normal((15, dim))
+        chain = [base[14]]
+        for _ in range(12):
+            step = rng.standard_normal(dim)
+            chain.append(chain[-1] + 0.2 * np.linalg.norm(chain[-1]) * step / np.linalg.norm(step))
+        for x in (*base, *(base[:5] + 0.03 * rng.standard_normal((5, dim))), *[base[6]] * 30, 3 * base[6], *chain):
+            rows.append((1000 - len(rows), tuple(x.tolist())))
+    bridge = [(2000, rows[0][1]), (2000, rows[1][1]), (2000, rows[0][1]), (2001, rows[2][1]), (2001, tuple(2 * x for x in rows[2][1]))]
+    nan = float("nan")
+    odd = [(900_001, None), (900_002, None), (900_003, (0.0,) * 8), (900_004, (0.0,) * 8), (900_005, ()), (900_006, (None, 1.0)), (900_007, (float("inf"),) * 8), (3000, None), (3000, rows[3][1])]
+    held = rows + bridge + odd
+    df = spark.createDataFrame([(i, list(x) if x is not None else None, 1, 2, 3) for i, x in held + [(None, rows[0][1]), (900_008, (nan,) * 8), rows[5]]], VECTORS.replace("float", "double"))
+    got = sorted(tuple(r) for r in vectors.near_duplicate_classes(df).collect())
+    want = sorted(brute_classes(held) + [(900_008, 900_008, 0)])
+    assert [g[0] for g in got] == [w[0] for w in want] and sum(w[2] for w in want) > 2000
+    assert got == want
+
+
+def test_classes_equal_sql(spark, sf):
+    """The query's SQL over the table, and over copies of it that have links."""
+    import duckdb
+
+    from strandloom.llm import queries, sql
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    got = queries.QUERIES["op3_embedding_near_dedup"](spark, sf)
+    assert got.dtypes == [("vec_id", "bigint"), ("class_id", "bigint"), ("n_links", "bigint")]
+    want = c.sql(queries.ORACLE_SQL["op3_embedding_near_dedup"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == c.sql("SELECT count(DISTINCT vec_id) FROM embeddings").fetchall()[0][0]
+    copies = "SELECT vec_id * 4 + k AS vec_id, list_transform(range(1, len(e) + 1), lambda i: (k + 1) * e[i] + k // 2 * 0.02 * e[i % len(e) + 1]) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), range(4) r(k)"
+    want = c.sql(sql.CLASSES.format(vectors=copies)).fetchall()
+    table = spark.createDataFrame(c.sql(copies).fetchall(), "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.near_duplicate_classes(table).collect())
+    assert got == sorted(want) and all(n == 3 and i // 4 * 4 == k for i, k, n in got)
+
+
+def test_rows_of_classes_follow_the_input(spark):
+    """A table of few vectors in many copies gives as many rows as it has, not all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3, 8)).tolist()
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.get(F.array(*[F.array(*map(F.lit, x)) for x in base]), F.col("id") % 3).alias("embedding"))
+    got = vectors.near_duplicate_classes(df).groupBy("class_id", "n_links").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 999, 1000), (1, 999, 1000), (2, 999, 1000)]
+
+
+def test_no_classes(spark):
+    assert vectors.near_duplicate_classes(spark.createDataFrame([], VECTORS)).isEmpty()
+    assert [tuple(r) for r in vectors.near_duplicate_classes(spark.createDataFrame([(1, None, 1, 1, 1)], VECTORS)).collect()] == [(1, 1, 0)]
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicate_pairs(spark.createDataFrame([], VECTORS)).isEmpty()
     assert vectors.near_duplicate_pairs(spark.createDataFrame([(1, None, 1, 1, 1)], VECTORS)).isEmpty()
