@@ -9,12 +9,19 @@ max_supersteps they are a subset of what an in-place scan accepts in as many rou
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strings
-from .components import ensure_checkpoint_dir
+from .components import ensure_checkpoint_dir, shared_folder
 
 
 def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None, groups: DataFrame | None = None, max_supersteps: int | None = None, max_words: int | None = None) -> DataFrame:
@@ -107,27 +114,88 @@ def superstep_counts(accepted: DataFrame) -> DataFrame:
 def recruit_quota(words: DataFrame, seeds: DataFrame, quota: int) -> DataFrame:
     """(id, best_quota) of the rows reached while the quota lasts.
 
-    words: (id, pos, word).  A seed word has the whole quota.  A row whose word at p
+    words: (id, pos, word), one word a place.  A seed word has the whole quota.  A row whose word at p
     has d > 0 left gives its word at i a remainder of d - |p - i|; the best remainder
     counts, and only words that got better are propagated.  best_quota is the greatest
     remainder at any of the row's words.
     """
-    ensure_checkpoint_dir(words.sparkSession)
-    words = words.checkpoint()
+    # gaps that no remainder can get over are as good as longer ones
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.xxhash64("word").alias("w"))))
+    rows = words.groupBy("id").agg(sorted_.alias("xs"))
+    fill = lambda x, i: F.greatest(F.least(F.coalesce(F.get(F.col("xs"), i + 1)["pos"] - x["pos"], F.lit(1)), F.lit(quota)) - 1, F.lit(0)).cast("int")
+    dense = F.flatten(F.transform("xs", lambda x, i: F.concat(F.array(x["w"]), F.array_repeat(F.lit(None).cast("long"), fill(x, i)))))
+    return quota_of_arrays(rows.select("id", dense.alias("ws")), seeds.select(F.xxhash64("word").alias("word")), quota)
+
+
+def quota_of_arrays(rows: DataFrame, seeds: DataFrame, quota: int) -> DataFrame:
+    """recruit_quota of rows (id, ws), ws an array of 64-bit words in their places, null where there is none; seeds: (word).
+
+    The rows are written once and read in every step, but never shuffled: what goes on is each
+    place that may have a word which got better, with the words within the quota of it.  A bitmap of
+    bounded size says which may; a join with the words themselves decides.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/quota-{uuid.uuid4().hex}"
+    rows.where(F.size("ws") > 0).select("id", "ws").write.parquet(path)
+    rows = spark.read.parquet(path)
+    out = f"word LONG, id {rows.schema['id'].dataType.simpleString()}, near ARRAY<LONG>"
     best = seeds.select("word").distinct().withColumn("d", F.lit(quota)).checkpoint()
     delta = best
-    forward = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy("id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    reached = []
     while True:
-        rows = words.join(delta, "word", "left_semi").select("id").distinct()
-        held = words.join(rows, "id", "left_semi").join(best, "word", "left")
-        spread = held.select("word", F.greatest(F.max(F.col("d") + F.col("pos")).over(forward) - F.col("pos"), F.max(F.col("d") - F.col("pos")).over(backward) + F.col("pos")).alias("d"))
+        found = rows.mapInArrow(_near(spark.sparkContext.broadcast(_bitmap(delta)), quota), out).join(delta, "word").select("id", "d", "near").checkpoint()
+        reached.append(found.groupBy("id").agg(F.max("d").alias("d")).checkpoint())
+        spread = found.select("d", F.posexplode("near").alias("i", "word")).where("word IS NOT NULL").select("word", (F.col("d") - F.abs(F.col("i") - (quota - 1))).alias("d"))
         offered = spread.where("d > 0").groupBy("word").agg(F.max("d").alias("offer"))
         delta = offered.join(best, "word", "left").where("d IS NULL OR offer > d").select("word", F.col("offer").alias("d")).checkpoint()
         if delta.isEmpty():
             break
         best = best.join(delta.select("word"), "word", "left_anti").union(delta).checkpoint()
-    return words.join(best, "word").groupBy("id").agg(F.max("d").alias("best_quota"))
+    return reduce(DataFrame.union, reached).groupBy("id").agg(F.max("d").alias("best_quota"))
+
+
+#: Bits of a bitmap of words: so many for each word, up to 8 MB, and the shifts that give a word's three places in it.
+_BITS_EACH, _MOST_BITS, _SHIFTS = 24, 1 << 26, (0, 20, 37)
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """A Bloom filter of 64-bit words, made by the executors; its size is bounded whatever their number."""
+    bits = min(_MOST_BITS, 1 << max(10, (_BITS_EACH * words.count()).bit_length()))
+    place = F.explode(F.array(*[F.shiftright("word", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS]))
+    cells = words.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("x")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("x").to_numpy()
+    return out
+
+
+def _near(bitmap: Broadcast, quota: int):
+    """Of (id, ws), (word, id, near) for each place whose word may be in a bitmap: near has the words from quota - 1 places before to as many after, null where there is none."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = bitmap.value
+        mask = (len(cells) << 6) - 1
+        around = np.arange(1 - quota, quota)
+        for batch in batches:
+            column = batch.column(1)
+            offsets, flat = column.offsets.to_numpy(), column.values
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            values = flat.fill_null(0).to_numpy()
+            lo, hi = offsets[0], offsets[-1]
+            at = lo + np.flatnonzero(there[lo:hi])
+            for shift in _SHIFTS:
+                b = (values[at] >> shift) & mask
+                at = at[(cells[b >> 6] >> (b & 63)) & 1 == 1]
+            for k in range(0, len(at), 50_000):
+                part = at[k : k + 50_000]
+                row = np.searchsorted(offsets, part, "right") - 1
+                grid = part[:, None] + around
+                inside = (grid >= offsets[row][:, None]) & (grid < offsets[row + 1][:, None])
+                grid = np.where(inside, grid, part[:, None])
+                near = pa.array(values[grid].ravel(), mask=~(inside & there[grid]).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(around)), near)
+                yield pa.RecordBatch.from_arrays([pa.array(values[part]), batch.column(0).take(pa.array(row)), lists], names=["word", "id", "near"])
+
+    return kernel
 
 
 def pregroup(words: DataFrame) -> DataFrame:
