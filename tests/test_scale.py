@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from strandloom.operators import recruit
+from strandloom.operators import recruit, words
 
 
 def shuffled(spark, run) -> int:
@@ -50,3 +50,39 @@ def test_quota_does_not_shuffle_the_words(spark):
     arrays = spark.createDataFrame(list(texts.items()), "id long, ws array<long>")
     assert rows(recruit.quota_of_arrays(arrays, seeds, 1)) == sorted(_quota(texts, [texts[0][3], texts[1][7]], 1), key=str)
     assert shuffled(spark, lambda: recruit.quota_of_arrays(arrays, seeds, 1).collect()) < 200 < sum(map(len, texts.values()))
+
+
+def _mirrored(s, least):
+    """Blocks that occur mirrored: (start1, start2, len), by trying all pairs."""
+    out = set()
+    for line in range(2 * len(s)):
+        run = 0
+        for a in range(line // 2 + 2):
+            b = line - a
+            equal = a <= b and b + least <= len(s) and s[a : a + least] == s[b : b + least][::-1]
+            if equal:
+                run += 1
+            elif run:
+                out.add((a - run, line - a + 1, run + least - 1))
+                run = 0
+    return out
+
+
+@pytest.mark.parametrize("inverted", [False, True])
+def test_repeats_of_many_texts(spark, inverted):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice(("ab", "ba", "aab", "c", "é€")) for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, "a" * 70), (61, "a" * 70), (62, None)]
+    df = spark.createDataFrame(texts, "id int, s string")
+    got = rows(words.exact_repeats(df, "id", F.col("s"), 5, inverted, "reverse"), "id", "start1", "start2", "len")
+
+    def direct(s):
+        equal = {(a, b) for a in range(len(s) - 4) for b in range(a + 1, len(s) - 4) if s[a : a + 5] == s[b : b + 5]}
+        return {(a, b, next(k for k in range(1, 99) if (a + k, b + k) not in equal) + 4) for a, b in equal if (a - 1, b - 1) not in equal}
+
+    assert got == sorted([(i, *x) for i, s in texts if s for x in (_mirrored(s, 5) if inverted else direct(s))], key=str)
+
+
+def test_repeats_shuffle_texts_and_not_their_words(spark):
+    df = spark.createDataFrame([(i, "=" * 3000 + str(i)) for i in range(3)], "id int, s string")
+    for inverted in (False, True):
+        assert shuffled(spark, lambda inverted=inverted: words.exact_repeats(df, "id", F.col("s"), 12, inverted, "reverse").count()) < 50
