@@ -51,9 +51,15 @@ def write_fasta(records: DataFrame, path: str, width: int = 0, mode: str = "erro
 # ---- FASTQ ----------------------------------------------------------------
 
 
-class _Range(InputPartition):
-    def __init__(self, file_id: int, path: str, begin: int, end: int):
-        self.file_id, self.path, self.begin, self.end = file_id, path, begin, end
+class _Ranges(InputPartition):
+    """(file_id, path, begin, end) of ranges next to each other, for one task."""
+
+    def __init__(self, ranges: list[tuple[int, str, int, int]]):
+        self.ranges = ranges
+
+
+#: Bytes of a task's ranges at least, so that small ranges and small files don't make a task each.
+_TASK_BYTES = 16 << 20
 
 
 _PACKED = (".gz", ".tar", ".tgz")
@@ -79,7 +85,7 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 class FastqReader(DataSourceReader):
-    """Byte ranges of plain files, each taking the records that begin in it; a compressed file, or one of which only the first rows are asked for, is one range."""
+    """Byte ranges of plain files, each taking the records that begin in it; a compressed file, or one of which only the first rows are asked for, is one range. A task has several if they are small."""
 
     def __init__(self, schema: StructType, options: dict):
         self.columns = schema.names
@@ -88,20 +94,30 @@ class FastqReader(DataSourceReader):
         self.most = int(options["rowsperfile"]) if "rowsperfile" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        out: list[list[tuple[int, str, int, int]]] = [[]]
+        have = 0
         for i, (path, whole) in enumerate(x for p in self.paths for x in _files(p)):
             one = path.endswith(_PACKED) or self.most is not None
             step = max(whole, 1) if one else self.size
-            out += [_Range(i, path, b, min(whole, b + step)) for b in range(0, max(whole, 1), step)]
-        return out
+            for b in range(0, max(whole, 1), step):
+                size = min(whole, b + step) - b
+                if out[-1] and have + size > _TASK_BYTES:
+                    out.append([])
+                    have = 0
+                out[-1].append((i, path, b, b + size))
+                have += size
+        return [_Ranges(x) for x in out]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         place = {"file_id": 0, "read_id": 1, "name": 2, "mate": 3, "seq": 4, "qual": 5}
         pick = [place[c] for c in self.columns]
-        for at, head, seq, qual in itertools.islice(records_of(part.path, part.begin, part.end), self.most):
-            name, mate = split_head(head)
-            row = (part.file_id, at, name, mate, seq, qual)
-            yield tuple(row[i] for i in pick)
+        for path, ranges in itertools.groupby(part.ranges, lambda x: x[1]):
+            with _opened(path) as f:
+                for file_id, _, begin, end in ranges:
+                    for at, head, seq, qual in itertools.islice(records_in(f, begin, end, path.endswith(_PACKED)), self.most):
+                        name, mate = split_head(head)
+                        row = (file_id, at, name, mate, seq, qual)
+                        yield tuple(row[i] for i in pick)
 
 
 def _opened(path: str) -> BinaryIO:
@@ -115,36 +131,42 @@ def _opened(path: str) -> BinaryIO:
 
 
 def records_of(path: str, begin: int, end: int) -> Iterator[tuple[int, str, str, str]]:
+    """(place, head, seq, qual) of the records of a file that begin in [begin, end)."""
+    with _opened(path) as f:
+        yield from records_in(f, begin, end, path.endswith(_PACKED))
+
+
+def records_in(f: BinaryIO, begin: int, end: int, packed: bool = False) -> Iterator[tuple[int, str, str, str]]:
     """(place, head, seq, qual) of the records that begin in [begin, end); place is the byte at which one begins.
 
     A range starts at a line whose shape is a record's: @ first, + two lines on, and equal
-    lengths between; a quality line that begins with @ fails that test.
+    lengths between; a quality line that begins with @ fails that test. A packed file is one range.
     """
-    packed = path.endswith(_PACKED)
-    with _opened(path) as f:
-        at = 0
-        if begin and not packed:
-            f.seek(begin - 1)
-            at = begin - 1 + len(f.readline())
-            window: list[tuple[int, bytes]] = []
-            while len(window) < 8 and (line := f.readline()):
-                window.append((at, line))
-                at += len(line)
-            for i in range(min(4, len(window))):
-                four = [w[1].rstrip(b"\r\n") for w in window[i : i + 4]]
-                if len(four) == 4 and four[0][:1] == b"@" and four[2][:1] == b"+" and len(four[1]) == len(four[3]):
-                    at = window[i][0]
-                    break
-            else:
-                return
-            f.seek(at)
-        while packed or at < end:
-            four = [f.readline() for _ in range(4)]
-            if not four[3] and not four[1]:
-                return
-            text = [x.rstrip(b"\r\n").decode("ascii", "replace") for x in four]
-            yield at, text[0][1:], text[1], text[3]
-            at += sum(map(len, four))
+    at = 0
+    if begin and not packed:
+        f.seek(begin - 1)
+        at = begin - 1 + len(f.readline())
+        window: list[tuple[int, bytes]] = []
+        while len(window) < 8 and (line := f.readline()):
+            window.append((at, line))
+            at += len(line)
+        for i in range(min(4, len(window))):
+            four = [w[1].rstrip(b"\r\n") for w in window[i : i + 4]]
+            if len(four) == 4 and four[0][:1] == b"@" and four[2][:1] == b"+" and len(four[1]) == len(four[3]):
+                at = window[i][0]
+                break
+        else:
+            return
+        f.seek(at)
+    elif not packed:
+        f.seek(0)
+    while packed or at < end:
+        four = [f.readline() for _ in range(4)]
+        if not four[3] and not four[1]:
+            return
+        text = [x.rstrip(b"\r\n").decode("ascii", "replace") for x in four]
+        yield at, text[0][1:], text[1], text[3]
+        at += sum(map(len, four))
 
 
 def split_head(head: str) -> tuple[str, int]:
