@@ -1,12 +1,16 @@
 """What queries move, hold and give where there is more of it: copies of rows, long texts, many files."""
 
+import math
 import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strandloom.operators import recruit, words
+from strandloom.functions import strings
+from strandloom.operators import recruit, report, words
+from strandloom.sources import sequences
 
 
 def shuffled(spark, run) -> int:
@@ -86,3 +90,61 @@ def test_repeats_shuffle_texts_and_not_their_words(spark):
     df = spark.createDataFrame([(i, "=" * 3000 + str(i)) for i in range(3)], "id int, s string")
     for inverted in (False, True):
         assert shuffled(spark, lambda inverted=inverted: words.exact_repeats(df, "id", F.col("s"), 12, inverted, "reverse").count()) < 50
+
+
+def test_small_ranges_share_a_task(tmp_path):
+    text = "".join(f"@r{i}\n{'ACGT' * 5}\n+\n{'I' * 20}\n" for i in range(2000))
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text(text)
+    reader = sequences.FastqReader(StructType.fromDDL("file_id INT, name STRING"), {"path": f"{tmp_path}/a.fq,{tmp_path}/b.fq", "rangebytes": "500"})
+    parts = reader.partitions()
+    assert len(parts) < 4
+    assert [r for p in parts for r in reader.read(p)] == [(f, f"r{i}") for f in (0, 1) for i in range(2000)]
+
+
+def test_values_apart_by_just_the_factor(spark):
+    values = [v / 100 for k in range(1, 500) for v in (k * 7, k * 70)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    want = [(a, b) for a, x in enumerate(values) for b, y in enumerate(values) if a < b and abs(math.log(x) - math.log(y)) > math.log(10)]
+    assert rows(report.far_apart(df, "i", "v")) == sorted(want, key=str)
+
+
+def test_best_of_cross_equals_all_pairs(spark):
+    rng = random.Random(2)
+    data = [(rng.randrange(6), rng.randrange(30), float(rng.choice((1, 2, 3, 5, 8, 13)) if k else rng.choice((-1, 0, 2)))) for k in (0, *[1] * 8) for _ in range(15)]
+    data = [(k + 10 if s <= 0 else k, i, s) for k, i, s in data]
+    a, b = spark.createDataFrame(data, "k int, i int, s double"), spark.createDataFrame(data[5:] + [(10, 1, 4.0), (0, 99, 5.0)], "k int, i int, s double")
+    best = {}
+    for k, i, x in data:
+        for k2, j, y in b.collect():
+            if k == k2 and i != j:
+                best[i] = max(best.get(i, -math.inf), min(x, y) / max(x, y) if max(x, y) else -math.inf)
+    got = {r["a"]: -math.inf if r["best_ratio"] is None else r["best_ratio"] for r in report.best_of_cross(a, b, "k", "i", "i", "s", 0.9).collect()}
+    assert got == pytest.approx(best)
+
+
+def test_best_of_cross_compares_neighbours(spark):
+    df = spark.range(3000).select(F.lit(1).alias("k"), "id", (F.col("id") + 1.0).alias("s"))
+    plan = report.best_of_cross(df, df, "k", "id", "id", "s", 0.9)
+    assert plan.count() == 3000 and shuffled(spark, plan.collect) < 60_000
+
+
+def test_pairs_are_compared_by_distinct_values(spark):
+    df = spark.range(400).select(F.lit(1).alias("k"), "id", (F.col("id") % 4 + 1.0).alias("v"), F.concat(F.lit("name"), (F.col("id") % 3).cast("string")).alias("s"))
+    got = report.theta_pairs(df, "k", "id", "v", 0.6).agg(F.count("*"), F.sum("a"), F.sum("ratio")).first()
+    want = [(a, (a % 4 + 1) / (b % 4 + 1)) for a in range(400) for b in range(400) if (a % 4 + 1) / (b % 4 + 1) < 0.6]
+    assert tuple(got) == (len(want), sum(a for a, _ in want), pytest.approx(sum(r for _, r in want)))
+    near = words.word_distance_within(df, ["k"], "id", F.col("s"), lambda s: strings.substrings(s, 2))
+    # two names of five characters differ in one pair of four
+    apart = sum(a % 3 != b % 3 for a in range(400) for b in range(a))
+    assert tuple(near.agg(F.count("*"), F.sum("dist")).first()) == (400 * 399 // 2, pytest.approx(apart / 4))
+    assert shuffled(spark, near.count) < 1000
+
+
+def test_links_of_texts_are_counted_over_all_rows(spark):
+    names = ["red bolt", "red volt", "blue gear", "blue gears", "something else", None]
+    data = [(i, names[i % 6]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, s string")
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in words.near_texts(df, "id", "s", 1, block=2).collect()}
+    near = {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert got == {i: (i, 0) if i % 6 == 5 else (near[i % 6], 9 if i % 6 == 4 else 19) for i in range(60)}
