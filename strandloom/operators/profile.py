@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import strings
 from .components import ensure_checkpoint_dir
+from .sizes import small_side
 
 #: Quality encodings: name, least and greatest character, offset of score 0.
 ENCODINGS = (("sanger", 33, 73, 33), ("solexa", 59, 104, 64), ("illumina_1_3", 64, 104, 64), ("illumina_1_5", 67, 105, 64), ("illumina_1_8", 33, 74, 33))
@@ -139,12 +144,33 @@ def weight_trimmed_range(rows: DataFrame, keys: list[str], x: Column, weight: Co
 
     lo and hi are one deviation from the weighted mean, kept in the remaining range of x.
     """
-    t = rows.select(*keys, *order, x.cast("double").alias("x"), weight.cast("double").alias("w"))
-    up = Window.partitionBy(*keys).orderBy("x", *order)
-    all_of = Window.partitionBy(*keys)
     mass = F.col("x") * F.col("w")
-    t = t.withColumn("before", F.coalesce(F.sum(mass).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("upto", F.sum(mass).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(mass).over(all_of))
-    kept = t.where((F.col("upto") > F.col("total") * drop_low) & (F.col("before") < F.col("total") * (1 - drop_high)))
+    t = rows.select(*keys, *order, x.cast("double").alias("x"), weight.cast("double").alias("w")).where(mass.isNotNull())
+    # rows are ranged by key and order, so that a key is many tasks' work: sums within a task's range first, then of the ranges before it
+    ranged = t.repartitionByRange(*keys, "x", *order).sortWithinPartitions(*keys, "x", *order).select(*keys, "x", "w", F.spark_partition_id().alias("__part"), F.xxhash64(*keys).alias("__key"))
+
+    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, so_far = None, 0.0
+        for b in batches:
+            k, m = b["__key"].to_numpy(), (b["x"] * b["w"]).to_numpy()
+            upto = np.empty(len(m))
+            begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
+            for lo, hi in zip(begins, [*begins[1:], len(k)], strict=True):
+                so_far = so_far if k[lo] == key else 0.0
+                upto[lo:hi] = so_far + np.cumsum(m[lo:hi])
+                key, so_far = k[lo], upto[hi - 1]
+            yield b.assign(__upto=upto)[[*names, "__upto"]]
+
+    ensure_checkpoint_dir(rows.sparkSession)
+    names = [c for c in ranged.columns if c != "__key"]
+    kinds = ", ".join(f"`{c}` {ranged.schema[c].dataType.simpleString()}" for c in names)
+    # written once: ranges are made from a sample, and made again they need not be the same
+    summed = ranged.mapInPandas(running, f"{kinds}, __upto DOUBLE").checkpoint()
+    parts = summed.groupBy(*keys, "__part").agg(F.sum(mass).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = small_side(parts.select(*keys, "__part", before.alias("__before"), F.sum("__sum").over(Window.partitionBy(*keys)).alias("total")))
+    upto = F.col("__before") + F.col("__upto")
+    kept = summed.join(parts, [*keys, "__part"]).where((upto > F.col("total") * drop_low) & (upto - mass < F.col("total") * (1 - drop_high)))
     stats = weighted_mean_std(kept, keys, F.col("x"), F.col("w"))
     ends = kept.groupBy(*keys).agg(F.min("x").alias("a"), F.max("x").alias("b"))
     return stats.join(ends, keys).select(*keys, F.greatest(F.col("a"), F.col("wmean") - F.col("wstd")).alias("lo"), F.col("wmean").alias("mean"), F.least(F.col("b"), F.col("wmean") + F.col("wstd")).alias("hi"))
