@@ -387,7 +387,7 @@ def log_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda *x: F.concat(F.lit("2020-01-01 00:00:00,000 - INFO: "), *[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
     rounds = F.transform(F.sequence(F.lit(1), 2 + (k % 5).cast("int")), lambda r: F.concat(F.lit("2020-01-01 00:00:00,000 - INFO: Round "), r.cast("string"), F.lit(": 5/9 AI "), F.when(r == 2 + k % 5, k * 10).otherwise(1).cast("string"), F.lit(" AW 7")))
     lines = F.flatten(F.array(F.array(said("Mean = ", 100 + k % 50, " bp, maximum = 150 bp.")), rounds, F.array(said("Result status of x: ", F.when(k % 2 == 0, "circular genome").otherwise("1 scaffold(s)"))), F.array(F.concat(F.lit("Total cost "), (3 + k % 9).cast("string"), F.lit(".0 s")))))
-    table(spark, sf_dir, "supplier").select(k.alias("sample"), F.array_join(lines, "\n").alias("value")).repartition("sample").write.partitionBy("sample").text(path)
+    annotations.write_logs(table(spark, sf_dir, "supplier").select(F.concat(F.lit("sample="), k.cast("string")).alias("sample"), F.array_join(lines, "\n").alias("value")), path)
     return annotations.read_logs(spark, f"{path}/*/*.txt").select("sample", "rounds", "accepted_lines", "mean_read_len", "time", "circular")
 
 
@@ -455,7 +455,7 @@ SELECT k, CAST(length(orf) * 3 AS INTEGER) AS orf_len, count(*) AS n FROM f WHER
 def open_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open frames of at least 12 bases."""
     d = F.concat(_dna(F.col("p_partkey")), _dna(F.col("p_name")), _dna(F.col("p_partkey") * 3))
-    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.explode(strings.orf_lengths(d, 0, ("ATG", "GTG", "ACG"), ("TAA", "TAG", "TGA"), 12)).alias("orf_len"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.explode(strings.let(d, lambda s: strings.orf_lengths(s, 0, ("ATG", "GTG", "ACG"), ("TAA", "TAG", "TGA"), 12))).alias("orf_len"))
     return t.groupBy("k", "orf_len").agg(F.count("*").alias("n"))
 
 

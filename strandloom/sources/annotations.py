@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
+import itertools
 import re
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sequences import _files, _opened, _place
+
+#: Records that are parsed at once.
+_RECORDS = 500
 FEATURES = "record STRING, feature STRING, name STRING, start LONG, `end` LONG, strand INT, part INT, quals MAP<STRING,STRING>"
 
 
@@ -53,19 +60,27 @@ def parse_genbank(text: str) -> tuple[list[tuple], list[tuple[str, str]]]:
 
 
 def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """features, one part a row, and sequences (record, seq); a file is one task's parse."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """features, one part a row, and sequences (record, seq).
 
-    def features(batches):
+    A record is one row of a splittable text read whose lines end before a line of //, so that
+    a task holds some records at a time, however long the file.
+    """
+    records = spark.read.option("lineSep", "\n//").text(path)
+
+    def some(batches):
         for b in batches:
-            rows = [r for c in b["content"] for r in parse_genbank(bytes(c).decode("utf-8", "replace"))[0]]
-            yield pd.DataFrame(rows, columns=["record", "feature", "name", "start", "end", "strand", "part", "quals"])
+            for k in range(0, len(b), _RECORDS):
+                yield [parse_genbank(x) for x in b["value"].iloc[k : k + _RECORDS]]
+
+    def features(batches):
+        for found in some(batches):
+            yield pd.DataFrame([r for rows, _ in found for r in rows], columns=["record", "feature", "name", "start", "end", "strand", "part", "quals"])
 
     def sequences(batches):
-        for b in batches:
-            yield pd.DataFrame([r for c in b["content"] for r in parse_genbank(bytes(c).decode("utf-8", "replace"))[1]], columns=["record", "seq"])
+        for found in some(batches):
+            yield pd.DataFrame([r for _, seqs in found for r in seqs], columns=["record", "seq"])
 
-    return files.mapInPandas(features, FEATURES), files.mapInPandas(sequences, "record STRING, seq STRING")
+    return records.mapInPandas(features, FEATURES), records.mapInPandas(sequences, "record STRING, seq STRING")
 
 
 def regions(features: DataFrame, sequences: DataFrame, kinds: tuple[str, ...] = ("CDS", "tRNA", "rRNA")) -> DataFrame:
@@ -170,6 +185,54 @@ LOG_FIELDS: dict[str, tuple[str, str]] = {
 }
 
 
+def write_logs(rows: DataFrame, path: str, name: str = "log.txt") -> None:
+    """Write (sample, value) as one file in a folder for each sample, path/sample/name, its rows in order of their text.
+
+    Tasks write their samples' files where they stay, so there is no file that the driver has to move;
+    a task that runs again writes the same files again.
+    """
+
+    def write(part):
+        for sample, texts in itertools.groupby(part, lambda r: r[0]):
+            where, inner = _place(f"{path}/{sample}")
+            where.create_dir(inner)
+            with where.open_output_stream(f"{inner}/{name}") as f:
+                f.write("".join(f"{r[1]}\n" for r in texts).encode())
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.select("sample", "value").repartition(spread, "sample").sortWithinPartitions("sample", "value").foreachPartition(write)
+
+
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, at, value): lines of logs, at rising with their place in a folder's files.
+
+    Of an address such as folder/*/*.txt only the first folder is listed by the driver; tasks list and
+    read the others, many small files each.
+    """
+    base, _, pattern = path.partition("/*/")
+    if not pattern or "*" in base or "/" in pattern:
+        return spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("sample"), F.monotonically_increasing_id().alias("at"), "value")
+    where, inner = _place(base)
+    samples = sorted(x.base_name for x in where.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.Directory)
+    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(samples)))
+
+    def read(batches):
+        for batch in batches:
+            for k in range(0, len(batch), _RECORDS):
+                found = []
+                for sample in batch["sample"].iloc[k : k + _RECORDS]:
+                    lines = []
+                    for file, _ in _files(f"{base}/{sample}"):
+                        if fnmatch.fnmatch(file.rsplit("/", 1)[-1], pattern):
+                            with _opened(file) as f:
+                                text = re.split("\r\n|\n|\r", f.read().decode("utf-8", "replace"))
+                            lines += text if text[-1] else text[:-1]
+                    found += [(sample, i, x) for i, x in enumerate(lines)]
+                yield pd.DataFrame(found, columns=["sample", "at", "value"])
+
+    return spark.createDataFrame(pd.DataFrame({"sample": samples}), "sample STRING").repartition(spread).mapInPandas(read, "sample STRING, at LONG, value STRING")
+
+
 def read_logs(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]] | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(sample, one column for each field) (A18, A19); the sample is the file's folder.
 
@@ -177,7 +240,7 @@ def read_logs(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]]
     are n_bases, mem_max and, from lengths (sample, res_len) of the paths written, res_len.
     """
     usual, fields = fields is None, fields or LOG_FIELDS
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("sample"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = _log_lines(spark, path)
     text = lambda p: F.regexp_extract("value", p, 1)
     found = [F.when(text(p) != "", F.struct("at", text(p).alias("x"))).alias(k) for k, (_, p) in fields.items()]
 
