@@ -40,11 +40,14 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
         gone = exclude.select("id")
         probes = probes.join(gone, "id", "left_anti")
         words = probes if same else words.join(gone, "id", "left_anti")
-    if max_words is None:
+    if max_words is None and same:
+        probes, delta = _classes(probes, delta)
+        words = probes
+    elif max_words is None:
         # a word of one row alone, and of no seed, leads nowhere: most words are such
-        all_of = probes if same else probes.select("id", "word").union(words.select("id", "word"))
+        all_of = probes.select("id", "word").union(words.select("id", "word"))
         shared = all_of.groupBy("word").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("word").union(delta).distinct()
-        probes, words = probes.join(shared, "word", "left_semi"), words if same else words.join(shared, "word", "left_semi")
+        probes, words = probes.join(shared, "word", "left_semi"), words.join(shared, "word", "left_semi")
     probes = probes.select("id", "word").checkpoint()
     words = probes if same else words.select("id", "word").checkpoint()
     accepted = _Parts(spark.createDataFrame([], probes.select("id", F.lit(0).alias("superstep")).schema))
@@ -67,6 +70,29 @@ def recruit(probes: DataFrame, words: DataFrame, seeds: DataFrame, exclude: Data
     return accepted.all()
 
 
+def _by_word(rows: DataFrame) -> DataFrame:
+    """(id, word), all of a word in one place; what is made of it twice is shuffled once."""
+    # without nulls from the beginning: a filter that only one use has would make it two shuffles
+    return rows.select("id", "word").where("word IS NOT NULL AND id IS NOT NULL").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
+def _classes(rows: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, word) and seeds (word) with one word for all that the same rows have, and without those of one row alone that no seed has.
+
+    Such words are accepted together, so rows are accepted in the same supersteps; a
+    passage that rows share leaves one word instead of one for each of its places. Sets of rows are told apart by
+    their size, their least and greatest id and sums of 36 and 28 bits of the ids' hashes.
+    """
+    at = _by_word(rows)
+    h = F.xxhash64("id")
+    sets = at.groupBy("word").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit((1 << 36) - 1))).alias("x"), F.sum(F.shiftrightunsigned(h, 36)).alias("y"))
+    told = sets.join(seeds.select("word", F.lit(1).alias("seed")), "word", "left").where("a <> b OR seed = 1")
+    classes = told.groupBy("a", "b", "n", "x", "y").agg(F.min("word").alias("word"), F.max("seed").alias("seed")).select("word", "seed")
+    # one job, so that the words are shuffled once
+    kept = at.join(classes.hint("shuffle_hash"), "word").select("id", "word", "seed").checkpoint()
+    return kept.select("id", "word"), kept.where("seed = 1").select("word").distinct().checkpoint()
+
+
 def recruit_rows(
     rows: DataFrame, seeds: DataFrame, word: int, probe_step: int = 3, build_step: int = 2, involution: str = "identity", exclude: DataFrame | None = None,
     groups: DataFrame | None = None, max_supersteps: int | None = None, max_words: int | None = None,
@@ -203,6 +229,7 @@ def pregroup(words: DataFrame) -> DataFrame:
     from .components import connected_components
 
     # a word ties its rows to its least row: a star, so edges grow with rows and not with pairs
-    hub = words.groupBy("word").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = words.join(hub, "word").where("id <> hub").select("id", "hub").distinct()
+    at = _by_word(words)
+    hub = at.groupBy("word").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("word", "hub")
+    edges = at.join(hub.hint("shuffle_hash"), "word").where("id <> hub").select("id", "hub").distinct()
     return connected_components(edges, "id", "hub").select(F.col("node").alias("id"), F.col("component").alias("group_id"))

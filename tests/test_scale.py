@@ -148,3 +148,13 @@ def test_links_of_texts_are_counted_over_all_rows(spark):
     got = {r["id"]: (r["class_id"], r["n_links"]) for r in words.near_texts(df, "id", "s", 1, block=2).collect()}
     near = {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
     assert got == {i: (i, 0) if i % 6 == 5 else (near[i % 6], 9 if i % 6 == 4 else 19) for i in range(60)}
+
+
+def test_recruit_keeps_one_word_of_a_passage(spark):
+    passages = {p: [1000 * p + i for i in range(200)] for p in range(4)}
+    data = [(i, w) for i, ps in enumerate([(0,), (0, 1), (1, 2), (3,), (3,)]) for p in ps for w in passages[p]]
+    df = spark.createDataFrame(data, "id long, word long")
+    seeds = spark.createDataFrame([(3,), (-1,)], "word long")
+    assert rows(recruit.recruit(df, df, seeds)) == [(0, 1), (1, 1), (2, 2)]
+    assert shuffled(spark, lambda: recruit.recruit(df, df, seeds).collect()) < 2 * len(data)
+    assert rows(recruit.pregroup(df)) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
