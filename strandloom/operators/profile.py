@@ -117,7 +117,8 @@ def weighted_mean_std(rows: DataFrame, keys: list[str], x: Column, w: Column) ->
     """
     t = rows.select(*keys, x.cast("double").alias("x"), w.cast("double").alias("w"))
     mean = t.groupBy(*keys).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("wmean"))
-    joined = t.join(mean, keys) if keys else t.crossJoin(F.broadcast(mean))  # without keys the mean is one row
+    # a key's rows stay where they are where the means are few
+    joined = t.join(small_side(mean), keys) if keys else t.crossJoin(F.broadcast(mean))  # without keys the mean is one row
     return joined.groupBy(*keys, "wmean").agg(F.sqrt(F.sum(F.col("w") * F.pow(F.col("x") - F.col("wmean"), 2)) / F.sum("w")).alias("wstd"))
 
 

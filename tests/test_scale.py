@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strandloom.functions import strings
-from strandloom.operators import recruit, report, words
-from strandloom.sources import sequences
+from strandloom.operators import profile, recruit, report, words
+from strandloom.sources import annotations, sequences
 
 
 def shuffled(spark, run) -> int:
@@ -158,3 +158,25 @@ def test_recruit_keeps_one_word_of_a_passage(spark):
     assert rows(recruit.recruit(df, df, seeds)) == [(0, 1), (1, 1), (2, 2)]
     assert shuffled(spark, lambda: recruit.recruit(df, df, seeds).collect()) < 2 * len(data)
     assert rows(recruit.pregroup(df)) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
+
+
+def test_tasks_read_logs_and_records(spark, tmp_path):
+    df = spark.createDataFrame([(f"run{i}", f"x Round {i}: a") for i in range(30)], "sample string, value string")
+    annotations.write_logs(df, f"file:{tmp_path}/logs")
+    assert rows(annotations.read_logs(spark, f"file:{tmp_path}/logs/*/*.txt", {"n": ("last", "Round ([0-9]+)")})) == sorted(((f"run{i}", str(i)) for i in range(30)), key=str)
+    (tmp_path / "x.gb").write_text("".join(f"LOCUS       rec{i}\nORIGIN\n        1 acgt\n//\n" for i in range(1200)))
+    found = annotations.read_genbank(spark, str(tmp_path / "x.gb"))[1]
+    assert "BinaryFile" not in found._jdf.queryExecution().toString() and found.distinct().count() == 1200
+
+
+def test_trimmed_range_is_not_one_task_a_key(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 977 + 1.0).alias("x"), (F.col("id") % 5 + 1.0).alias("w")).repartition(4)
+    got = profile.weight_trimmed_range(df, ["k"], F.col("x"), F.col("w"), ["id"])
+    data = sorted((i % 977 + 1.0, i, i % 5 + 1.0) for i in range(20_000))
+    total, upto, kept = sum(x * w for x, _, w in data), 0.0, []
+    for x, _, w in data:
+        upto += x * w
+        if upto > total * 0.1 and upto - x * w < total * 0.6:
+            kept.append((x, w))
+    assert got.first()["mean"] == pytest.approx(sum(x * w for x, w in kept) / sum(w for _, w in kept))
+    assert shuffled(spark, got.collect) < 1000
