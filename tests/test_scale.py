@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strandloom.functions import strings
-from strandloom.operators import profile, recruit, report, words
+from strandloom.operators import intervals, profile, recruit, report, words
 from strandloom.sources import annotations, sequences
 
 
@@ -180,3 +180,10 @@ def test_trimmed_range_is_not_one_task_a_key(spark):
             kept.append((x, w))
     assert got.first()["mean"] == pytest.approx(sum(x * w for x, w in kept) / sum(w for _, w in kept))
     assert shuffled(spark, got.collect) < 1000
+
+
+def test_gaps_are_one_window(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 20, 22), ("b", 4, 4)], "k string, lo long, hi long")
+    got = intervals.gaps(df, ["k"], F.lit(0), F.lit(30))
+    assert rows(got) == sorted([("a", 0, 0, 1), ("a", 10, 19, 10), ("a", 23, 30, 8), ("b", 0, 3, 4), ("b", 5, 30, 26)], key=str)
+    assert str(got._jdf.queryExecution().optimizedPlan().toString()).count("Window") == 1
